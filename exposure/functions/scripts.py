@@ -67,7 +67,7 @@ def ssh_keys(output: Column, first: int = 3) -> Column:
     return F.transform(
         F.slice(zipped, 1, first),
         lambda k: F.struct(
-            k["0"].alias("bits"), k["1"].alias("algo"), F.concat(F.substring(k["2"], 1, 16), F.lit("...")).alias("fingerprint"),
+            k["bits"].alias("bits"), k["algo"].alias("algo"), F.concat(F.substring(k["print"], 1, 16), F.lit("...")).alias("fingerprint"),
         ),
     )
 

@@ -62,7 +62,7 @@ SELECT CAST(1995 + e.event_id % 7 AS INT) AS scan_id, h.ip, e.event_id AS findin
   e.event_id % 97 % 4 = 0 AS exploit_available, CAST(e.event_id % 97 AS DOUBLE) / 10 AS cvss3,
   CAST(CASE e.event_id % 3 WHEN 0 THEN 22 WHEN 1 THEN 443 ELSE 445 END AS INT) AS port, 'tcp' AS proto,
   concat('CVE-2024-', 1000 + e.event_id % 97) AS cve, e.ts AS seen_at, e.event_id, h.host_id
-FROM events e JOIN host_dim h ON h.host_id = e.event_id % (SELECT count(*) FROM customer)""",
+FROM events e JOIN host_dim h ON h.host_id = CASE WHEN e.event_id % 3 = 0 THEN 7 ELSE e.event_id % (SELECT count(*) FROM customer) END""",
     "finding": """
 SELECT *, CASE severity WHEN 1 THEN 'Low' WHEN 2 THEN 'Medium' WHEN 3 THEN 'High' ELSE 'Critical' END AS severity_label
 FROM report_item WHERE severity > 0""",

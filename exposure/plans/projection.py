@@ -29,6 +29,7 @@ OS_NAMES = [
 LABELS = ["ckt", "mission-critical", "crown", "choke", "pivot", "production", "staging", "p1"]
 FIRST_SCAN, SCANS = 1995, 7
 LATEST = 0
+HOT_HOST = 7
 
 
 def pick(index: Column, values: list) -> Column:
@@ -122,13 +123,13 @@ class Projection:
 
     @cached_property
     def report_items(self) -> DataFrame:
-        """Every report item, informational ones included."""
+        """Every report item, informational ones included; one host holds a third of them."""
         customers = self.table("customer").agg(F.count(F.lit(1))).scalar()
         plugin = F.col("event_id") % 97
         return (
             self.table("events")
             .select(
-                (F.col("event_id") % customers).cast("bigint").alias("host_id"),
+                F.when(F.col("event_id") % 3 == 0, HOT_HOST).otherwise(F.col("event_id") % customers).cast("bigint").alias("host_id"),
                 (FIRST_SCAN + F.col("event_id") % SCANS).cast("int").alias("scan_id"),
                 F.col("event_id").alias("finding_ord"),
                 plugin.cast("int").alias("plugin_id"),

@@ -15,18 +15,23 @@ XML_OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
 
 def read_records(spark: SparkSession, paths, closing_tag: str) -> DataFrame:
     """``scan_id`` (the file path), ``host_ord`` and ``value``: text up to each closing tag."""
-    return position(spark.read.option("lineSep", closing_tag).text(paths))
+    return with_position(located(spark.read.option("lineSep", closing_tag).text(paths)))
 
 
 def stream_records(spark: SparkSession, path: str, closing_tag: str, **options: str) -> DataFrame:
-    """The streaming counterpart of :func:`read_records` over a landing folder."""
-    return position(spark.readStream.option("lineSep", closing_tag).options(**options).text(path))
+    """The records of a landing folder as a stream; each batch is then given positions."""
+    return located(spark.readStream.option("lineSep", closing_tag).options(**options).text(path))
 
 
-def position(raw: DataFrame) -> DataFrame:
-    """Rows of one split number upwards, and splits order by where they start."""
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return raw.select(F.col("_metadata.file_path").alias("scan_id"), place.alias("host_ord"), "value")
+def located(raw: DataFrame) -> DataFrame:
+    """Text rows with the file they came from and where their split starts."""
+    return raw.select(F.col("_metadata.file_path").alias("scan_id"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def with_position(records: DataFrame) -> DataFrame:
+    """Adds ``host_ord``: splits order by where they start, rows by their number within the split."""
+    place = F.struct("block", F.monotonically_increasing_id().alias("row"))
+    return records.select("scan_id", place.alias("host_ord"), "value")
 
 
 def element(value: Column, name: str) -> Column:
