@@ -20,9 +20,15 @@ KEY = C.HOST_KEY
 
 
 def postings(inv: Inventory) -> DataFrame:
-    """Distinct (scan, kind, key, ip) of up hosts; ports, services and products of open ports."""
+    """Distinct (scan, kind, key, ip) of up hosts; ports, services and products of open ports.
+
+    CVEs matched by CPE are already one row per host, and they are by far the most rows.
+    Only those whose CVE also occurs in findings are deduplicated against them.
+    """
     rows = lambda df, kind, key: df.select("scan_id", F.lit(kind).alias("kind"), key.alias("key"), "ip")
-    opened = inv.ports.where(F.col("state") == "open")
+    hosts = inv.hosts.where(F.col("status") == "up")
+    up = hosts.select(*KEY)
+    opened = inv.ports.where(F.col("state") == "open").join(up, KEY, "left_semi")
     kinds = F.array(
         F.struct(F.lit("port").alias("kind"), F.col("port").cast("string").alias("key")),
         F.struct(F.lit("service").alias("kind"), F.lower("svc").alias("key")),
@@ -30,17 +36,22 @@ def postings(inv: Inventory) -> DataFrame:
     )
     exploded = opened.select("scan_id", "ip", F.explode(kinds).alias("k")).select("scan_id", "k.kind", "k.key", "ip")
     words = F.filter(F.split(F.lower("os_name"), r"\s+"), lambda w: F.length(w) > 2)
-    parts = [exploded, rows(inv.hosts.withColumn("word", F.explode(words)), "os", F.col("word"))]
+    parts = [exploded, rows(hosts.withColumn("word", F.explode(words)), "os", F.col("word"))]
     if inv.tags is not None:
-        parts.append(rows(with_tags(inv.hosts, inv.tags).withColumn("label", F.explode("labels")), "tag", F.col("label")))
+        parts.append(rows(with_tags(hosts, inv.tags).withColumn("label", F.explode("labels")), "tag", F.col("label")))
+    matched = None
     if inv.vuln_db is not None:
-        parts.append(rows(match_cves(inv.ports, inv.vuln_db), "cve", F.lower("cve")))
+        matched = rows(match_cves(opened, inv.vuln_db), "cve", F.lower("cve"))
     if inv.findings is not None:
-        parts.append(rows(inv.findings.withColumn("cve", F.explode("cves")), "cve", F.lower("cve")))
-        parts.append(rows(inv.findings, "product", F.lower("plugin_name")))
-    up = inv.hosts.where(F.col("status") == "up").select(*KEY)
-    named = reduce(DataFrame.unionByName, parts).where(F.col("key").isNotNull() & (F.col("key") != ""))
-    return named.join(up, KEY, "left_semi").distinct()
+        findings = inv.findings.join(up, KEY, "left_semi")
+        reported = rows(findings.withColumn("cve", F.explode("cves")), "cve", F.lower("cve"))
+        parts += [reported, rows(findings, "product", F.lower("plugin_name"))]
+        if matched is not None:
+            shared = inv.findings.select(F.explode("cves").alias("cve")).select(F.lower("cve").alias("key")).distinct()
+            parts.append(matched.join(shared, "key", "left_semi"))
+            matched = matched.join(shared, "key", "left_anti")
+    named = reduce(DataFrame.unionByName, parts).where(F.col("key").isNotNull() & (F.col("key") != "")).distinct()
+    return named if matched is None else named.unionByName(matched)
 
 
 def posting_counts(rows: DataFrame) -> DataFrame:

@@ -9,9 +9,18 @@ from exposure.functions import columns as C
 KEY = C.HOST_KEY
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions by ``keys`` into the configured number of partitions.
+
+    Both sides of the CVE join are small next to what they produce; an explicit number keeps
+    adaptive execution from merging them into a few tasks because their input looks small.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _first_port(ports: DataFrame) -> DataFrame:
     """Per host and CPE, the lowest open port carrying it."""
-    carrying = ports.where((F.col("state") == "open") & F.col("cpe").isNotNull())
+    carrying = ports.where((F.col("state") == "open") & F.col("cpe").isNotNull()).select(*KEY, "cpe", "port")
     return carrying.groupBy(*KEY, "cpe").agg(F.min("port").alias("port"))
 
 
@@ -58,28 +67,60 @@ def cpe_pairs(cpes: DataFrame, vuln_db: DataFrame, mode: str = "normalized") ->
     return joined.select("cpe", "db_cpe", kind.alias("match"))
 
 
+def _best_per_cpe(cpes: DataFrame, vuln_db: DataFrame, mode: str) -> DataFrame:
+    """Per port CPE and CVE, the row reported for it: exact CPE first, then database order."""
+    db = vuln_db.where(F.col("cve").isNotNull()).select(F.col("cpe").alias("db_cpe"), "ord", "cve", "cvss", "descr")
+    rank = (F.col("match") != "exact").alias("rank")
+    return (
+        cpe_pairs(cpes, vuln_db, mode).join(db, "db_cpe")
+        .groupBy("cpe", "cve").agg(F.min(F.struct(rank, "db_cpe", "ord", "cvss", "descr")).alias("hit"))
+    )
+
+
+def _match_columns(df: DataFrame) -> DataFrame:
+    return df.select(
+        *KEY, "cve", F.col("hit.cvss").alias("cvss"), C.cvss_class(F.col("hit.cvss")).alias("cvss_class"), "port",
+        F.col("hit.db_cpe").alias("cpe"), F.when(F.col("hit.rank"), "prefix").otherwise("exact").alias("match"), F.col("hit.descr").alias("descr"),
+    )
+
+
+def _first_per_cve(df: DataFrame) -> DataFrame:
+    best = df.groupBy(*KEY, "cve").agg(F.min(F.struct("port", "hit")).alias("best"))
+    return best.select(*KEY, "cve", "best.port", "best.hit")
+
+
 def match_cves(ports: DataFrame, vuln_db: DataFrame, mode: str = "normalized") -> DataFrame:
     """Each CVE once per host: lowest port first, exact CPE before prefix, then database order.
 
-    Distinct CPEs are matched first and reduced to the best database row per CPE and
-    CVE, so the many-to-many step runs on the catalogue and not on the fleet.
+    Distinct CPEs are matched first and reduced to one row per CPE and CVE, so the
+    many-to-many step runs on the catalogue and not on the fleet.
+
+    In normalized mode every CPE of a product reaches the same CVEs, so a host needs
+    only the CPEs at its lowest port of that product, and a CVE listed under a single product
+    can reach it once only. Those rows, nearly all, leave the join as they are;
+    only CVEs of several products, and ports with several CPEs of one product, are
+    grouped to find the first.
     """
-    on_host = _first_port(ports)
-    pairs = cpe_pairs(on_host, vuln_db, mode)
-    db = vuln_db.select(F.col("cpe").alias("db_cpe"), "ord", "cve", "cvss", "descr")
-    per_cpe = (
-        pairs.join(db, "db_cpe")
-        .groupBy("cpe", "cve").agg(F.min(F.struct((F.col("match") != "exact").alias("rank"), "db_cpe", "ord", "cvss", "descr")).alias("hit"))
+    opened = _spread(ports.where((F.col("state") == "open") & F.col("cpe").isNotNull()).select(*KEY, "cpe", "port"), *KEY)
+    on_host = opened.groupBy(*KEY, "cpe").agg(F.min("port").alias("port"))
+    per_cpe = _best_per_cpe(ports.where("state = 'open' AND cpe IS NOT NULL"), vuln_db, mode)
+    if mode != "normalized":
+        return _match_columns(_first_per_cve(on_host.join(_spread(per_cpe, "cpe", "cve"), "cpe")))
+    product = lambda c: C.cpe_base(C.cpe_23(F.col(c)))
+    lowest = (
+        on_host.groupBy(*KEY, product("cpe").alias("stem"), "port").agg(F.collect_set("cpe").alias("cpes"))
+        .groupBy(*KEY, "stem").agg(F.min(F.struct("port", "cpes")).alias("at"))
+        .select(*KEY, F.col("at.port").alias("port"), (F.size("at.cpes") == 1).alias("single"), F.explode("at.cpes").alias("cpe"))
     )
-    return (
-        on_host.join(per_cpe, "cpe")
-        .groupBy(*KEY, "cve").agg(F.min(F.struct("port", "hit")).alias("best"))
-        .select(
-            *KEY, "cve", F.col("best.hit.cvss").alias("cvss"), C.cvss_class(F.col("best.hit.cvss")).alias("cvss_class"),
-            F.col("best.port").alias("port"), F.col("best.hit.db_cpe").alias("cpe"),
-            F.when(F.col("best.hit.rank"), "prefix").otherwise("exact").alias("match"), F.col("best.hit.descr").alias("descr"),
-        )
+    products = (
+        vuln_db.where(F.col("cve").isNotNull()).groupBy("cve", product("cpe").alias("stem")).agg(F.lit(1).alias("one"))
+        .groupBy("cve").agg((F.count(F.lit(1)) == 1).alias("one_product"))
     )
+    known = _spread(per_cpe.join(products, "cve"), "cpe", "cve")
+    pairs = lambda left, right: left.join(right, "cpe").select(*KEY, "cve", "port", "hit")
+    direct = pairs(lowest.where("single"), known.where("one_product"))
+    contested = pairs(lowest.where("single"), known.where("NOT one_product")).unionByName(pairs(lowest.where("NOT single"), known))
+    return _match_columns(direct.unionByName(_first_per_cve(contested)))
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:

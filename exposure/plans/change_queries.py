@@ -12,7 +12,11 @@ from exposure.plans.registry import query
 from exposure.sinks import exports
 
 KEY = C.HOST_KEY
-WHEN = F.timestamp_seconds(F.lit(1800000000))
+
+
+def edit_time():
+    """The time the tag edits below are stamped with."""
+    return F.timestamp_seconds(F.lit(1800000000))
 
 
 # ------------------------------------------------------------------ joins
@@ -279,7 +283,7 @@ def flat(tag_rows):
 FROM asset_tag t FULL OUTER JOIN (SELECT ip, CASE WHEN mac IS NULL THEN concat('ip:', ip) ELSE concat('mac:', upper(mac)) END AS asset_key FROM latest_host WHERE status = 'down') n ON n.asset_key = t.asset_key""")
 def tg01_upsert(p):
     down = p.latest_hosts.where("status = 'down'")
-    return flat(tags.annotate_hosts(p.tags, down, F.array(F.lit("p1"), F.lit("monitor")), F.lit("blue"), F.lit(None).cast("string"), WHEN))
+    return flat(tags.annotate_hosts(p.tags, down, F.array(F.lit("p1"), F.lit("monitor")), F.lit("blue"), F.lit(None).cast("string"), edit_time()))
 
 
 @query("""SELECT coalesce(n.asset_key, t.asset_key) AS asset_key, CASE WHEN n.asset_key IS NULL OR t.label = 'p1' THEN t.label ELSE concat_ws(';', t.label, 'p1') END AS labels, t.owner, t.notes,
@@ -287,8 +291,8 @@ def tg01_upsert(p):
 FROM asset_tag t FULL OUTER JOIN (SELECT ip, CASE WHEN mac IS NULL THEN concat('ip:', ip) ELSE concat('mac:', upper(mac)) END AS asset_key FROM latest_host WHERE status = 'up') n ON n.asset_key = t.asset_key""")
 def tg02_add_label(p):
     up = p.latest_hosts.where("status = 'up'")
-    once = tags.add_label(p.tags, up, "p1", WHEN)
-    return flat(tags.add_label(once, up, "p1", WHEN))
+    once = tags.add_label(p.tags, up, "p1", edit_time())
+    return flat(tags.add_label(once, up, "p1", edit_time()))
 
 
 @query("""SELECT t.asset_key, t.label AS labels, t.owner, t.notes, t.last_ip, 1700000000 + t.host_id AS last_seen FROM asset_tag t
