@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from exposure.functions import columns as C
-from exposure.operators import filters, groups, postings, risk, rollups, search, topk, vulns
+from exposure.operators import filters, groups, postings, risk, rollups, scripts as script_ops, search, topk, vulns
 from exposure.plans.projection import Projection
 from exposure.plans.registry import query
 
@@ -486,6 +486,22 @@ def tk02_port_hosts_preview(p):
     return topk.preview(exposed, ["scan_id", "port"], [F.asc("ip"), F.asc("proto")], 3).select("scan_id", "port", "ip", "rank", "more")
 
 
+@query("""SELECT scan_id, ip, script_id, type, detail, CAST(rn AS INT) AS rank, greatest(n - 4, 0) AS more FROM (
+  SELECT *, row_number() OVER (PARTITION BY scan_id, ip ORDER BY port, script_id) AS rn, count(*) OVER (PARTITION BY scan_id, ip) AS n FROM script_found) f WHERE rn <= 4""")
+def tk02_script_preview(p):
+    found = script_ops.script_findings(p.scripts)
+    return topk.preview(found, KEY, [F.asc("port"), F.asc("script_id")], 4).select(*KEY, "script_id", "type", "detail", "rank", "more")
+
+
+@query("""SELECT scan_id, service_key, port, CAST(rn AS INT) AS rank, greatest(n - 5, 0) AS more FROM (
+  SELECT *, row_number() OVER (PARTITION BY scan_id, service_key ORDER BY port) AS rn, count(*) OVER (PARTITION BY scan_id, service_key) AS n FROM (
+    SELECT DISTINCT scan_id, lower(svc) AS service_key, port FROM exposed_port WHERE svc IS NOT NULL) d) f WHERE rn <= 5""")
+def tk02_service_ports_preview(p):
+    named = rollups.exposed_ports(p.hosts, p.ports).where("svc IS NOT NULL")
+    distinct = named.select("scan_id", F.lower("svc").alias("service_key"), "port").distinct()
+    return topk.preview(distinct, ["scan_id", "service_key"], [F.asc("port")], 5).select("scan_id", "service_key", "port", "rank", "more")
+
+
 @query("""SELECT scan_id, ip, port, proto, CAST(rn AS INT) AS rank, greatest(n - 12, 0) AS more FROM (
   SELECT *, row_number() OVER (PARTITION BY scan_id, ip ORDER BY port, proto) AS rn, count(*) OVER (PARTITION BY scan_id, ip) AS n FROM port_obs WHERE state = 'open') f WHERE rn <= 12""")
 def tk02_host_ports_preview(p):

@@ -45,3 +45,19 @@ NVD_CVE = f"""struct<
 NVD_PAGE = f"totalResults bigint, vulnerabilities array<struct<cve:{NVD_CVE}>>"
 
 TAG_RECORD = "labels array<string>, owner string, notes string, lastIp string, lastSeen string"
+
+# Observation tables as the readers produce them, in the order they are loaded.
+_KEY = "scan_id string, host_ord struct<block:bigint,row:bigint>, ip string, load_ord bigint"
+OBSERVATIONS = {
+    "hosts": f"""{_KEY}, mac string, mac_vendor string, hostname string, netbios_name string, status string,
+        os array<struct<name:string,accuracy:int>>, os_name string, os_accuracy int, os_fingerprint string,
+        cpes array<string>, credentialed_scan boolean""",
+    "ports": f"""{_KEY}, port_ord int, port int, proto string, state string, svc string, product string,
+        version string, cpe string, fp string""",
+    "scripts": f"{_KEY}, port int, script_id string, output string",
+    "trace": f"{_KEY}, hop_ord int, ttl int, hop_ip string, hop_host string, rtt double",
+    "findings": f"""{_KEY}, finding_ord int, plugin_id int, plugin_name string, severity int, severity_label string,
+        risk_factor string, cvss double, cvss3 double, vpr double, cves array<string>, cpe string, synopsis string,
+        description string, solution string, output string, exploit_available boolean, stig_severity string,
+        refs string, xrefs array<string>, port int, proto string, svc string""",
+}
