@@ -11,7 +11,6 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from exposure import dims
 from exposure.functions import columns as C
 from exposure.inventory import Inventory
 
@@ -32,9 +31,14 @@ LATEST = 0
 HOT_HOST = 7
 
 
-def pick(index: Column, values: list) -> Column:
-    """``values[index]``, as a CASE."""
-    return C.case_of(index, {i: v for i, v in enumerate(values) if v is not None})
+def case_sql(index: str, values: list) -> str:
+    """SQL for ``values[index]``; a None entry gives null."""
+    lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    return f"CASE {index} " + " ".join(f"WHEN {i} THEN {lit(v)}" for i, v in enumerate(values) if v is not None) + " END"
+
+
+def pick(index: str, values: list) -> Column:
+    return F.expr(case_sql(index, values))
 
 
 def text(col: Column) -> Column:
@@ -52,19 +56,13 @@ class Projection:
 
     @cached_property
     def host_dim(self) -> DataFrame:
-        key = F.col("c_custkey")
-        pad = lambda c: F.lpad(text(c), 2, "0")
-        return self.table("customer").select(
-            key.cast("bigint").alias("host_id"), "c_nationkey",
-            F.concat_ws(
-                ".", text(10 + F.floor(key / 65536) % 200), text(F.col("c_nationkey")),
-                text(F.floor(key / 256) % 256), text(key % 256),
-            ).alias("ip"),
-            F.when(
-                key % 3 != 0,
-                F.concat_ws(":", F.lit("aa:bb:cc"), pad(F.floor(key / 10000) % 100), pad(F.floor(key / 100) % 100), pad(key % 100)),
-            ).alias("mac"),
-            F.lower("c_name").alias("full_name"), (80 + key % 21).cast("int").alias("os_accuracy"),
+        pad = lambda number: f"lpad(CAST({number} AS STRING), 2, '0')"
+        return self.table("customer").selectExpr(
+            "CAST(c_custkey AS BIGINT) AS host_id", "c_nationkey",
+            "concat_ws('.', 10 + (c_custkey DIV 65536) % 200, c_nationkey, (c_custkey DIV 256) % 256, c_custkey % 256) AS ip",
+            f"""CASE WHEN c_custkey % 3 <> 0 THEN concat_ws(':', 'aa:bb:cc', {pad('(c_custkey DIV 10000) % 100')},
+                {pad('(c_custkey DIV 100) % 100')}, {pad('c_custkey % 100')}) END AS mac""",
+            "lower(c_name) AS full_name", "CAST(80 + c_custkey % 21 AS INT) AS os_accuracy",
         )
 
     @cached_property
@@ -74,29 +72,23 @@ class Projection:
     @cached_property
     def port_rows(self) -> DataFrame:
         """First observation of each (host, scan, port, protocol), keyed by host id."""
-        kind = F.col("l_partkey") % 24
+        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         seen = (
-            self.table("lineitem")
-            .join(self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .select(
-                F.col("o_custkey").cast("bigint").alias("host_id"), F.year("o_orderdate").alias("scan_id"),
-                pick(kind, PORTS).cast("int").alias("port"),
-                F.when(F.col("l_suppkey") % 10 == 0, "udp").otherwise("tcp").alias("proto"),
-                F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").alias("first"),
+            self.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .selectExpr(
+                "CAST(o_custkey AS BIGINT) AS host_id", "year(o_orderdate) AS scan_id", f"{case_sql('l_partkey % 24', PORTS)} AS port",
+                "CASE WHEN l_suppkey % 10 = 0 THEN 'udp' ELSE 'tcp' END AS proto",
+                "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS first",
             )
             .groupBy("host_id", "scan_id", "port", "proto").agg(F.min("first").alias("first"))
+            .select("host_id", "scan_id", "port", "proto", F.col("first.l_partkey").alias("part"), "first.l_returnflag")
         )
-        part = F.col("first.l_partkey")
-        return seen.select(
+        return seen.selectExpr(
             "host_id", "scan_id", "port", "proto",
-            F.when(F.col("first.l_returnflag") == "R", "closed").when(F.col("first.l_returnflag") == "A", "filtered").otherwise("open").alias("state"),
-            pick(part % 24, SERVICES).alias("svc"),
-            F.when(part % 3 == 0, F.concat(F.lit("prod"), text(part % 24))).alias("product"),
-            F.when(part % 6 == 0, F.concat(text(part % 7), F.lit("."), text(part % 4))).alias("version"),
-            F.when(
-                part % 2 == 0,
-                F.concat(F.lit("cpe:/a:v"), text(part % 5), F.lit(":prod"), text(part % 24), F.lit(":"), text(part % 11)),
-            ).alias("cpe"),
+            "CASE l_returnflag WHEN 'R' THEN 'closed' WHEN 'A' THEN 'filtered' ELSE 'open' END AS state",
+            f"{case_sql('part % 24', SERVICES)} AS svc", "CASE WHEN part % 3 = 0 THEN concat('prod', part % 24) END AS product",
+            "CASE WHEN part % 6 = 0 THEN concat(part % 7, '.', part % 4) END AS version",
+            "CASE WHEN part % 2 = 0 THEN concat('cpe:/a:v', part % 5, ':prod', part % 24, ':', part % 11) END AS cpe",
         )
 
     @cached_property
@@ -111,14 +103,11 @@ class Projection:
         seen = self.table("lineitem").select("l_orderkey").join(
             self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")
         ).select(F.col("o_custkey").cast("bigint").alias("host_id"), F.year("o_orderdate").alias("scan_id")).distinct()
-        mix = F.col("host_id") + F.col("scan_id")
-        shift = F.when(mix % 5 == 0, 1).otherwise(0)
-        return seen.join(self.host_dim, "host_id").select(
-            "scan_id", "ip", "mac",
-            F.when(mix % 4 != 0, F.col("full_name")).alias("hostname"),
-            F.when(mix % 10 == 9, "down").otherwise("up").alias("status"),
-            pick((F.col("c_nationkey") + shift) % 7, OS_NAMES).alias("os_name"),
-            "os_accuracy",
+        kind = "(c_nationkey + CASE WHEN (host_id + scan_id) % 5 = 0 THEN 1 ELSE 0 END) % 7"
+        return seen.join(self.host_dim, "host_id").selectExpr(
+            "scan_id", "ip", "mac", "CASE WHEN (host_id + scan_id) % 4 <> 0 THEN full_name END AS hostname",
+            "CASE WHEN (host_id + scan_id) % 10 = 9 THEN 'down' ELSE 'up' END AS status",
+            f"{case_sql(kind, OS_NAMES)} AS os_name", "os_accuracy",
         )
 
     @cached_property
@@ -137,7 +126,7 @@ class Projection:
                 (plugin % 5).cast("int").alias("severity"),
                 (plugin % 4 == 0).alias("exploit_available"),
                 (plugin.cast("double") / 10).alias("cvss3"),
-                pick(F.col("event_id") % 3, [22, 443, 445]).cast("int").alias("port"),
+                pick("event_id % 3", [22, 443, 445]).alias("port"),
                 F.lit("tcp").alias("proto"),
                 F.concat(F.lit("CVE-2024-"), text(1000 + plugin)).alias("cve"),
                 F.col("ts").alias("seen_at"),
@@ -173,7 +162,7 @@ class Projection:
         key = F.col("host_id")
         return self.host_dim.where(key % 5 == 0).select(
             C.asset_key(F.col("mac"), F.col("ip")).alias("asset_key"),
-            F.array(pick(F.floor(key / 5) % 8, LABELS)).alias("labels"),
+            F.array(pick("(host_id DIV 5) % 8", LABELS)).alias("labels"),
             F.when(key % 15 == 0, "soc").alias("owner"),
             F.when(key % 35 == 0, "note").alias("notes"),
             F.col("ip").alias("last_ip"),
@@ -225,8 +214,8 @@ class Projection:
         ]
         return self.host_dim.select(
             F.lit(LATEST).alias("scan_id"), "ip", "host_id",
-            F.when(key % 2 == 0, pick(key % 3, [443, 80, 22])).cast("int").alias("port"),
-            pick(kind, ids).alias("script_id"), C.case_of(kind, output).alias("output"),
+            F.when(key % 2 == 0, pick("host_id % 3", [443, 80, 22])).alias("port"),
+            pick("host_id % 10", ids).alias("script_id"), C.case_of(kind, output).alias("output"),
             F.concat(
                 F.lit("SCAN(V=7.95%E=4%OT="), text(20 + key % 5), F.lit(")\nSEQ(SP="), text(key % 13), F.lit("%TI=Z)")
             ).alias("os_fingerprint"),

@@ -82,8 +82,8 @@ def nessus_hosts(p: Projection) -> DataFrame:
     customers = p.table("customer").agg(F.count(F.lit(1))).scalar()
     event, plugin = F.col("event_id"), F.col("event_id") % 97
     item = F.struct(
-        event.alias("at"), text(pick(event % 3, [22, 443, 0])).alias("_port"), F.lit("tcp").alias("_protocol"),
-        pick(event % 4, ["ssh", "?", "www", None]).alias("_svc_name"), text(plugin).alias("_pluginID"),
+        event.alias("at"), text(pick("event_id % 3", [22, 443, 0])).alias("_port"), F.lit("tcp").alias("_protocol"),
+        pick("event_id % 4", ["ssh", "?", "www", None]).alias("_svc_name"), text(plugin).alias("_pluginID"),
         F.concat(F.lit("Plugin <"), text(plugin), F.lit(">")).alias("_pluginName"), text(plugin % 5).alias("_severity"),
         F.lit("High & low").alias("risk_factor"), F.when(plugin % 3 != 0, text(plugin.cast("double") / 10)).otherwise("n/a").alias("cvss3_base_score"),
         F.when(plugin % 4 == 0, "true").otherwise("false").alias("exploit_available"),
@@ -95,7 +95,7 @@ def nessus_hosts(p: Projection) -> DataFrame:
     tag = lambda name, value: F.when(value.isNotNull(), F.struct(F.lit(name).alias("_name"), value.alias("_VALUE")))
     tags = F.array_compact(F.array(
         tag("host-ip", F.col("ip")), tag("hostname", F.when(key % 4 != 0, F.col("full_name"))), tag("netbios-name", F.concat(F.lit("NB"), text(key))),
-        tag("operating-system", pick(key % 7, OS_NAMES)), tag("operating-system-conf", F.when(key % 2 == 0, text(F.col("os_accuracy")))),
+        tag("operating-system", pick("host_id % 7", OS_NAMES)), tag("operating-system-conf", F.when(key % 2 == 0, text(F.col("os_accuracy")))),
         tag("cpe", F.concat(F.lit("cpe:/o:v"), text(key % 5))), tag("cpe-0", F.concat(F.lit("cpe:/o:v"), text(key % 5))), tag("cpe-1", F.concat(F.lit("cpe:/a:x"), text(key % 3))),
         tag("cpe-extra", F.lit("ignored")),
         tag("traceroute-hop-1", F.col("ip")), tag("traceroute-hop-0", F.concat(F.lit("10.255."), text(F.col("c_nationkey")), F.lit(".1"))),

@@ -44,6 +44,8 @@ def test_matches_sql(name, spark, duck):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(result.columns)
     assert got == normal(cursor.fetchall(), names)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
 def test_entry_runs(spark):
