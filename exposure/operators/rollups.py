@@ -55,7 +55,8 @@ def service_rollup(hosts: DataFrame, ports: DataFrame, preview: int = 5) -> Data
     """Per scan and lower-cased service: ports, hosts, products, flags and severity.
 
     Port numbers are a 16-bit domain, so the set of ports per service is bounded;
-    hosts and products are only counted.
+    hosts and products are only counted. The distinct counts group by (service, host) and
+    (service, product) first, in the same pass over the ports.
     """
     spark = ports.sparkSession
     admin = F.broadcast(dims.admin_dim(spark).select("port", "admin_severity"))
@@ -64,28 +65,21 @@ def service_rollup(hosts: DataFrame, ports: DataFrame, preview: int = 5) -> Data
     facts = (
         exposed_ports(hosts, ports).where(F.col("svc").isNotNull())
         .select("scan_id", F.lower("svc").alias("service_key"), "ip", "port", "proto", "svc", "product")
+        .join(admin, "port", "left").join(port_clear, "port", "left")
     )
-    group = ["scan_id", "service_key"]
-    shown = facts.groupBy(*group).agg(F.min(F.struct("ip", "port", "proto", "svc")).getField("svc").alias("service"))
-    by_port = (
-        facts.groupBy(*group, "port").agg(F.lit(1).alias("one")).join(admin, "port", "left").join(port_clear, "port", "left")
-        .groupBy(*group).agg(
-            F.count(F.lit(1)).alias("ports"), F.sort_array(F.collect_list("port")).alias("port_set"),
-            F.max(F.col("admin_severity") == "critical").alias("any_critical"),
-            F.count("admin_severity").alias("admin_ports"), F.count("port_cleartext").alias("cleartext_ports"),
-        )
+    rolled = facts.groupBy("scan_id", "service_key").agg(
+        F.min(F.struct("ip", "port", "proto", "svc")).getField("svc").alias("service"),
+        F.sort_array(F.collect_set("port")).alias("port_set"),
+        F.count_distinct("ip").alias("hosts"), F.count_distinct("product").alias("products"),
+        F.max(F.col("admin_severity") == "critical").alias("any_critical"),
+        F.count("admin_severity").alias("admin_ports"), F.count("port_cleartext").alias("cleartext_ports"),
     )
-    by_host = facts.groupBy(*group, "ip").agg(F.lit(1).alias("one")).groupBy(*group).agg(F.count(F.lit(1)).alias("hosts"))
-    by_product = (
-        facts.where(F.col("product").isNotNull()).groupBy(*group, "product").agg(F.lit(1).alias("one"))
-        .groupBy(*group).agg(F.count(F.lit(1)).alias("products"))
-    )
-    joined = shown.join(by_port, group).join(by_host, group).join(by_product, group, "left").join(svc_clear, "service", "left")
+    joined = rolled.withColumn("ports", F.size("port_set").cast("bigint")).join(svc_clear, "service", "left")
     listed = F.array_join(F.transform(F.slice("port_set", 1, preview), lambda p: p.cast("string")), ", ")
     is_clear = (F.col("cleartext_ports") > 0) | F.col("svc_cleartext").isNotNull()
     critical = F.when(F.coalesce("any_critical", F.lit(False)), "critical")
     return joined.select(
-        "scan_id", "service_key", "service", "ports", "hosts", F.coalesce("products", F.lit(0).cast("bigint")).alias("products"),
+        "scan_id", "service_key", "service", "ports", "hosts", "products",
         F.concat(listed, F.when(F.col("ports") > preview, "...").otherwise("")).alias("port_list"),
         card_severity(critical, F.col("admin_ports") > 0, is_clear).alias("card_severity"),
     )
