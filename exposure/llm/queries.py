@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exposure.llm import dac, packing
+from exposure.llm import dac, decontamination, minhash, packing, suffixes
 from exposure.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,18 @@ def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "codes")
     dac.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
     return dac.documents_at(spark, path)
+
+
+@query
+def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("doc")
+
+
+@query
+def op4_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"), keep="none")
+
+
+@query
+def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85, h=4, m=12)
