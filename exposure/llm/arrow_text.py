@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 PAD = 16
 
 
@@ -20,7 +20,8 @@ def text_column(column) -> pa.Array:
     """A string or binary column as Arrow binary with 64-bit offsets; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.large_binary()), b"")
+    column = column.cast(pa.large_binary())
+    return pc.fill_null(column, b"") if column.null_count else column
 
 
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from exposure.llm import dac, decontamination, minhash, packing, suffixes
+from exposure.llm import dac, decontamination, minhash, packing, perplexity, prefix_counts, quality, suffixes, tool_calls, toxicity
 from exposure.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +20,12 @@ def query(f):
     return f
 
 
+#: The folder that holds the package, for Python workers that were not started in it.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +40,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=2048)
 
 
+@query
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.rules(table(spark, sf_dir, "documents"), spread=5.0)
+
+
 @query
 def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "codes")
@@ -45,11 +57,33 @@ def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("doc")
 
 
+@query
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.calls_of_chats(table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.schema_table(spark, tool_calls.SCHEMAS))
+
+
 @query
 def op4_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(table(spark, sf_dir, "documents"), keep="none")
 
 
+@query
+def op7_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    return toxicity.score(table(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"], target="toxic")
+
+
 @query
 def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85, h=4, m=12)
+
+
+@query
+def op9_fourier_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", features=256, width=8.0, ridge=1e-3)
+
+
+@query
+def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts.counted(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)

@@ -91,11 +91,11 @@ class PieceTable:
             self._clear()
         out = np.zeros(len(starts), np.int64)
         lengths = ends - starts
-        for i in np.flatnonzero(lengths > 16):
-            key = buf[starts[i] : ends[i]].tobytes()
-            if (e := self.long.get(key)) is None:
-                e = self.long[key] = int(self._store(self.make([key]))[0])
-            out[i] = e
+        wide = np.flatnonzero(lengths > 16)
+        keys = [buf[s:e].tobytes() for s, e in zip(starts[wide].tolist(), ends[wide].tolist())]
+        if new := list({k for k in keys if k not in self.long}):
+            self.long.update(zip(new, self._store(self.make(new)).tolist()))
+        out[wide] = [self.long[k] for k in keys]
         todo = np.flatnonzero(lengths <= 16)
         view, size = words_view(buf), lengths[todo]
         first, last = view[starts[todo]], view[ends[todo] - 8]
