@@ -309,3 +309,46 @@ def deduplicate(docs: DataFrame, keep: str = "first", id_col: str = "doc_id", te
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, crc long" * with_kept
     return with_text(base, ranges, "left").select(F.col("d").alias("doc_id"), F.col("c").alias("crc"), "text", "ranges").mapInArrow(cut, schema)
+
+
+def without_repeats(docs: DataFrame, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
+    """``docs`` with repeated bytes cut out of ``text_col``, all other columns as they are (``chars_col``: the new number
+    of characters). A character goes only if all its bytes do. A row of whose text nothing but white space is left by the
+    cuts is dropped; a text without cuts, null included, stays as it is."""
+    base = keyed(docs, id_col, text_col)
+    ranges = repeated(base, keep).groupBy("doc_id", "crc").agg(F.collect_set(F.struct("lo", "hi")).alias("_ranges")).select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), "_ranges")
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    joined = docs.withColumn("_own_crc", crc).join(ranges, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_crc") == F.col("_crc")), "left")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ranges = batch.column(text_col).to_pylist(), batch.column("_ranges")
+            stay = np.ones(len(texts), bool)
+            for i, text in enumerate(texts):
+                found = ranges[i].values
+                if text is None or found is None or not len(found):
+                    continue
+                raw, left, at_ = text.encode(), [], 0
+                lo, hi = merged(*(np.asarray(found.field(k)) for k in ("lo", "hi")))
+                for s, e in zip(lo.tolist(), hi.tolist()):
+                    while s < e and raw[s] & 0xC0 == 0x80:
+                        s += 1
+                    while s < e < len(raw) and raw[e] & 0xC0 == 0x80:
+                        e -= 1
+                    left.append(raw[at_:s])
+                    at_ = e
+                texts[i] = b"".join([*left, raw[at_:]]).decode()
+                stay[i] = bool(texts[i].strip())
+            columns = []
+            for field in batch.schema:
+                if field.name in ("_ranges",):
+                    continue
+                if field.name == text_col:
+                    columns.append(pa.array(texts, pa.string()))
+                elif field.name == chars_col:
+                    columns.append(pa.array([None if t is None else len(t) for t in texts], field.type))
+                else:
+                    columns.append(batch.column(field.name))
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in batch.schema if f.name != "_ranges"]).filter(pa.array(stay))
+
+    return joined.select(*docs.columns, "_ranges").mapInArrow(cut, docs.schema)
