@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from exposure.sizes import is_small
+
 PAIR = ["base_id", "comp_id"]
 BASE, COMP, BOTH = 1, 2, 3
 
@@ -45,10 +47,23 @@ def consecutive_pairs(runs: DataFrame) -> DataFrame:
     )
 
 
+SALTS = 64
+
+
 def _sides(df: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of both sides of every pair, tagged with ``side``."""
-    one = lambda key, side: df.join(pairs, df["scan_id"] == pairs[key]).select(*PAIR, *columns, F.lit(side).alias("side"))
-    return one("base_id", BASE).unionByName(one("comp_id", COMP))
+    """Rows of both sides of every pair, tagged with ``side``.
+
+    Pairs become one row per scan and side, so the facts are read once. Few pairs are
+    broadcast; more of them are joined by scan and a salt of the IP, never by scan alone,
+    which would gather a scan's rows in one task.
+    """
+    side = lambda key, value: F.struct(F.col(key).alias("of_scan"), F.lit(value).alias("side"))
+    sides = pairs.select(*PAIR, F.explode(F.array(side("base_id", BASE), side("comp_id", COMP))).alias("s")).select(*PAIR, "s.*")
+    same_scan = df["scan_id"] == F.col("of_scan")
+    if is_small(sides):
+        return df.join(F.broadcast(sides), same_scan).select(*PAIR, *columns, "side")
+    salted = sides.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.join(salted, same_scan & (F.pmod(F.xxhash64(df["ip"]), F.lit(SALTS)) == F.col("salt"))).select(*PAIR, *columns, "side")
 
 
 def host_sides(hosts: DataFrame, pairs: DataFrame) -> DataFrame:

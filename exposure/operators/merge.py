@@ -77,12 +77,14 @@ def merge_ports(ports: DataFrame, profile: str = "web", merged_id=MERGED) -> Dat
     """One row per IP, port and protocol.
 
     Web keeps the first observation that names a product, else the first; desktop
-    always keeps the first.
+    always keeps the first. The order is that of loads, then of hosts and ports in their
+    document where the reader kept it.
     """
-    fields = [c for c in ports.columns if c not in ("scan_id", "ip", "port", "proto", "load_ord")]
+    places = [c for c in ("load_ord", "host_ord", "port_ord") if c in ports.columns]
+    fields = [c for c in ports.columns if c not in ("scan_id", "ip", "port", "proto", *places)]
     payload = [F.col(c) for c in fields]
     rank = F.col("product").isNull() if dims.check_profile(profile) == "web" else F.lit(False)
-    best = F.min(F.struct(rank.alias("rank"), "load_ord", *payload)).alias("best")
+    best = F.min(F.struct(rank.alias("rank"), *places, *payload)).alias("best")
     return ports.groupBy("ip", "port", "proto").agg(best).select(
         F.lit(merged_id).alias("scan_id"), "ip", "port", "proto", *[F.col(f"best.{c}").alias(c) for c in fields]
     )
@@ -95,22 +97,22 @@ def _first_loads(hosts: DataFrame) -> DataFrame:
 def merge_findings(findings: DataFrame, hosts: DataFrame, profile: str = "web", merged_id=MERGED) -> DataFrame:
     """The union of findings, without what earlier scans already reported.
 
-    The scan that first saw a host contributes all its findings. Later scans, web:
-    only the first finding of a (plugin, port) not seen before. Desktop: all findings
+    The scan that first saw a host, as a host or in a finding, contributes all its
+    findings. Later scans, web: only the first finding of a (plugin, port) not seen before. Desktop: all findings
     of a plugin no earlier scan reported.
 
     Copies of one finding collapse in a grouped minimum, so a host re-imported many
     times does not gather in one task.
     """
-    joined = findings.join(_first_loads(hosts), "ip")
+    sightings = hosts.select("ip", "load_ord").unionByName(findings.select("ip", "load_ord"))
+    joined = findings.join(_first_loads(sightings), "ip")
     columns = [c for c in findings.columns if c != "scan_id"]
     if dims.check_profile(profile) == "web":
         opening = joined.where(F.col("load_ord") == F.col("first_load")).select(*columns)
         later = joined.where(F.col("load_ord") > F.col("first_load"))
-        rest = [c for c in columns if c not in ("ip", "plugin_id", "port", "load_ord", "finding_ord")]
-        once = later.groupBy("ip", "plugin_id", "port").agg(
-            F.min(F.struct("load_ord", "finding_ord", *[F.col(c) for c in rest])).alias("f")
-        )
+        places = [c for c in ("load_ord", "host_ord", "finding_ord") if c in columns]
+        rest = [c for c in columns if c not in ("ip", "plugin_id", "port", *places)]
+        once = later.groupBy("ip", "plugin_id", "port").agg(F.min(F.struct(*places, *[F.col(c) for c in rest])).alias("f"))
         fresh = once.join(opening.select("ip", "plugin_id", "port").distinct(), ["ip", "plugin_id", "port"], "left_anti")
         kept = opening.unionByName(fresh.select("ip", "plugin_id", "port", "f.*"))
     else:
@@ -126,6 +128,14 @@ def merge_cpes(host_cpes: DataFrame, merged_id=MERGED) -> DataFrame:
     )
 
 
+def merge_scripts(scripts: DataFrame, merged_id=MERGED) -> DataFrame:
+    """One result per IP, port and script: that of the first load which ran it."""
+    order = F.struct("load_ord", *(["host_ord"] if "host_ord" in scripts.columns else []), "output")
+    return scripts.groupBy("ip", "port", "script_id").agg(F.min(order).getField("output").alias("output")).select(
+        F.lit(merged_id).alias("scan_id"), "ip", "port", "script_id", "output"
+    )
+
+
 def merge_trace(trace: DataFrame, profile: str = "web", merged_id=MERGED) -> DataFrame:
     """One trace per IP: web the first non-empty one, desktop the longest (earlier on ties)."""
     if dims.check_profile(profile) == "web":

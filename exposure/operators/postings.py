@@ -40,16 +40,20 @@ def postings(inv: Inventory) -> DataFrame:
     if inv.tags is not None:
         parts.append(rows(with_tags(hosts, inv.tags).withColumn("label", F.explode("labels")), "tag", F.col("label")))
     matched = None
-    if inv.vuln_db is not None:
-        matched = rows(match_cves(opened, inv.vuln_db), "cve", F.lower("cve"))
     if inv.findings is not None:
         findings = inv.findings.join(up, KEY, "left_semi")
         reported = rows(findings.withColumn("cve", F.explode("cves")), "cve", F.lower("cve"))
         parts += [reported, rows(findings, "product", F.lower("plugin_name"))]
-        if matched is not None:
-            shared = inv.findings.select(F.explode("cves").alias("cve")).select(F.lower("cve").alias("key")).distinct()
-            parts.append(matched.join(shared, "key", "left_semi"))
-            matched = matched.join(shared, "key", "left_anti")
+    if inv.vuln_db is not None:
+        # A CVE is matched on its own, so the catalogue is divided before it meets the hosts and each part is matched once.
+        catalogue = inv.vuln_db.withColumn("lower_cve", F.lower("cve"))
+        match = lambda db: rows(match_cves(opened, db.drop("lower_cve")), "cve", F.lower("cve"))
+        if inv.findings is None:
+            matched = match(catalogue)
+        else:
+            shared = inv.findings.select(F.explode("cves").alias("cve")).select(F.lower("cve").alias("lower_cve")).distinct()
+            parts.append(match(catalogue.join(shared, "lower_cve", "left_semi")))
+            matched = match(catalogue.join(shared, "lower_cve", "left_anti"))
     named = reduce(DataFrame.unionByName, parts).where(F.col("key").isNotNull() & (F.col("key") != "")).distinct()
     return named if matched is None else named.unionByName(matched)
 

@@ -163,8 +163,9 @@ def weight_ranks(ports: DataFrame, profile: str = "web") -> DataFrame:
 
     One row per host and weight: the weight holds ranks ``first_rank`` to
     ``last_rank`` of the host's open ports, heaviest first, and adds
-    ``contribution`` to the port risk. A host has at most as many rows as there are
-    distinct weights, so the window partition is bounded whatever the port count.
+    ``contribution`` to the port risk, which has no cap here: every rank adds its part. A
+    host has at most as many rows as there are distinct weights, so the window partition
+    is bounded whatever the port count.
     """
     counts = (
         with_port_risk(ports, profile)
@@ -176,8 +177,8 @@ def weight_ranks(ports: DataFrame, profile: str = "web") -> DataFrame:
     )
     last = F.sum("n").over(heavier_first)
     before = F.col("last_rank") - F.col("n")
-    gain = F.expr(f"{R.harmonic('last_rank', 'harmonic')} - {R.harmonic('last_rank - n', 'harmonic')}")
-    return counts.withColumn("last_rank", last).withColumn("harmonic", R.harmonic_column()).select(
+    gain = F.expr("aggregate(sequence(last_rank - n + 1, last_rank), 0D, (a, k) -> a + 1D / log2(k + 1))")
+    return counts.withColumn("last_rank", last).select(
         *KEY, "score_weight", (before + 1).alias("first_rank"), "last_rank",
         F.round(F.col("score_weight") * gain, 6).alias("contribution"),
     )

@@ -97,11 +97,15 @@ def by_admin(hosts: DataFrame, inv: Inventory, value: str) -> DataFrame:
     return filters.hosts_with(hosts, _open(inv).join(F.broadcast(dim.select("port")), "port", "left_semi"))
 
 
-def by_risk(hosts: DataFrame, inv: Inventory, value: str) -> DataFrame:
-    """``>n``, ``<n``, or ``n`` for at least n."""
-    bound = int(value.lstrip("<>"))
-    risk = F.col("risk")
-    hit = risk > bound if value.startswith(">") else risk < bound if value.startswith("<") else risk >= bound
+def by_risk(hosts: DataFrame, inv: Inventory, *values: str) -> DataFrame:
+    """``>n``, ``<n``, or ``n`` for at least n; all of ``values`` on one score. Anything but a number matches no host."""
+    risk, hit = F.col("risk"), F.lit(True)
+    for value in values:
+        number = value.lstrip("<>").strip()
+        if not number.lstrip("+-").isdigit():
+            return hosts.where("false")
+        bound = int(number)
+        hit = hit & (risk > bound if value.startswith(">") else risk < bound if value.startswith("<") else risk >= bound)
     return score_hosts(hosts, inv.ports, inv.findings).where(hit).select(*hosts.columns)
 
 
@@ -138,8 +142,14 @@ FIELDS = {
 
 
 def search(inv: Inventory, terms: list[tuple[str, str]]) -> DataFrame:
-    """Hosts meeting every term; no terms means all hosts, an unknown field means text."""
-    return reduce(lambda hosts, term: FIELDS.get(term[0].lower(), by_text)(hosts, inv, term[1]), terms, inv.hosts)
+    """Hosts meeting every term; no terms means all hosts, an unknown field means text.
+
+    All risk terms are tested on one score, after the others have narrowed the hosts.
+    """
+    risks = [value for field, value in terms if field.lower() == "risk"]
+    others = [(field.lower(), value) for field, value in terms if field.lower() != "risk"]
+    hosts = reduce(lambda hosts, term: FIELDS.get(term[0], by_text)(hosts, inv, term[1]), others, inv.hosts)
+    return by_risk(hosts, inv, *risks) if risks else hosts
 
 
 def search_and_filter(inv: Inventory, terms: list[tuple[str, str]], filter_name: str = "all") -> DataFrame:

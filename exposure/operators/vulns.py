@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from exposure.functions import columns as C
 
 KEY = C.HOST_KEY
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partitions by ``keys`` into the configured number of partitions.
-
-    Both sides of the CVE join are small next to what they produce; an explicit number keeps
-    adaptive execution from merging them into a few tasks because their input looks small.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def _first_port(ports: DataFrame) -> DataFrame:
     """Per host and CPE, the lowest open port carrying it."""
     carrying = ports.where((F.col("state") == "open") & F.col("cpe").isNotNull()).select(*KEY, "cpe", "port")
@@ -101,11 +92,11 @@ def match_cves(ports: DataFrame, vuln_db: DataFrame, mode: str = "normalized") -
     only CVEs of several products, and ports with several CPEs of one product, are
     grouped to find the first.
     """
-    opened = _spread(ports.where((F.col("state") == "open") & F.col("cpe").isNotNull()).select(*KEY, "cpe", "port"), *KEY)
+    opened = ports.where((F.col("state") == "open") & F.col("cpe").isNotNull()).select(*KEY, "cpe", "port")
     on_host = opened.groupBy(*KEY, "cpe").agg(F.min("port").alias("port"))
     per_cpe = _best_per_cpe(ports.where("state = 'open' AND cpe IS NOT NULL"), vuln_db, mode)
     if mode != "normalized":
-        return _match_columns(_first_per_cve(on_host.join(_spread(per_cpe, "cpe", "cve"), "cpe")))
+        return _match_columns(_first_per_cve(on_host.join(per_cpe, "cpe")))
     product = lambda c: C.cpe_base(C.cpe_23(F.col(c)))
     lowest = (
         on_host.groupBy(*KEY, product("cpe").alias("stem"), "port").agg(F.collect_set("cpe").alias("cpes"))
@@ -116,11 +107,11 @@ def match_cves(ports: DataFrame, vuln_db: DataFrame, mode: str = "normalized") -
         vuln_db.where(F.col("cve").isNotNull()).groupBy("cve", product("cpe").alias("stem")).agg(F.lit(1).alias("one"))
         .groupBy("cve").agg((F.count(F.lit(1)) == 1).alias("one_product"))
     )
-    known = _spread(per_cpe.join(products, "cve"), "cpe", "cve")
-    pairs = lambda left, right: left.join(right, "cpe").select(*KEY, "cve", "port", "hit")
-    direct = pairs(lowest.where("single"), known.where("one_product"))
-    contested = pairs(lowest.where("single"), known.where("NOT one_product")).unionByName(pairs(lowest.where("NOT single"), known))
-    return _match_columns(direct.unionByName(_first_per_cve(contested)))
+    known = per_cpe.join(products, "cve")
+    matched = lowest.join(known, "cpe")
+    alone = F.col("single") & F.col("one_product")
+    pairs = lambda rows: rows.select(*KEY, "cve", "port", "hit")
+    return _match_columns(pairs(matched.where(alone)).unionByName(_first_per_cve(pairs(matched.where(~alone)))))
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
@@ -145,30 +136,48 @@ def severity_summary(findings: DataFrame) -> DataFrame:
     )
 
 
-PLUGIN_FIELDS = ["plugin_name", "severity", "severity_label", "cvss", "cvss3", "exploit_available", "cves"]
+PLUGIN_FIELDS = [
+    "plugin_name", "severity", "severity_label", "cvss", "cvss3", "exploit_available", "cves", "risk_factor", "vpr", "synopsis", "description",
+    "solution", "stig_severity", "refs", "xrefs",
+]
+
+
+def _document_order(findings: DataFrame) -> list[Column]:
+    """What orders findings as their reports list them: load or scan, host, item."""
+    load = "load_ord" if "load_ord" in findings.columns else "scan_id"
+    host = "host_ord" if "host_ord" in findings.columns else "ip"
+    return [F.col(load).alias("o1"), F.col(host).alias("o2"), F.col("finding_ord").alias("o3")]
 
 
 def vulnerability_rollup(findings: DataFrame) -> DataFrame:
     """Per plugin: details of its first finding, affected entries, distinct hosts.
 
-    The affected hosts themselves are :func:`affected_hosts`, a long table: one plugin may
+    The first finding is that of the earliest load, there of the first host and item; its
+    details are the whole plugin record as far as the reader has it. The affected hosts themselves are :func:`affected_hosts`, a long table: one plugin may
     touch every host.
     """
-    first = F.min(F.struct("finding_ord", *[F.col(c) for c in PLUGIN_FIELDS])).alias("first")
+    fields = [c for c in PLUGIN_FIELDS if c in findings.columns]
+    first = F.min(F.struct(*_document_order(findings), *[F.col(c) for c in fields])).alias("first")
     per_host = findings.groupBy("plugin_id", "ip").agg(F.count(F.lit(1)).alias("n"), first)
     return (
         per_host.groupBy("plugin_id")
         .agg(F.sum("n").alias("entries"), F.count(F.lit(1)).alias("hosts"), F.min("first").alias("first"))
-        .select("plugin_id", *[F.col(f"first.{c}").alias(c) for c in PLUGIN_FIELDS], "entries", "hosts")
+        .select("plugin_id", *[F.col(f"first.{c}").alias(c) for c in fields], "entries", "hosts")
     )
 
 
 def affected_hosts(findings: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
-    """One row per plugin, host and port, with the host name where ``hosts`` is given."""
-    rows = findings.groupBy("plugin_id", "scan_id", "ip", "port").agg(F.count(F.lit(1)).alias("entries"))
+    """One row per plugin, host and port, with the plugin's first output there if the reader has it, and
+    the host name where ``hosts`` is given."""
+    output = []
+    if "output" in findings.columns:
+        output = [F.min_by("output", F.when(F.col("output").isNotNull(), F.struct(*_document_order(findings)))).alias("output")]
+    rows = findings.groupBy("plugin_id", "scan_id", "ip", "port").agg(F.count(F.lit(1)).alias("entries"), *output)
     if hosts is None:
         return rows
-    return rows.join(hosts.select(*KEY, "hostname"), KEY, "left").select("plugin_id", "scan_id", "ip", "hostname", "port", "entries")
+    return rows.join(hosts.select(*KEY, "hostname"), KEY, "left").select(
+        "plugin_id", "scan_id", "ip", "hostname", "port", "entries", *[c for c in rows.columns if c == "output"]
+    )
 
 
 def rollup_summary(findings: DataFrame) -> DataFrame:
@@ -177,7 +186,7 @@ def rollup_summary(findings: DataFrame) -> DataFrame:
     A plugin counts under the severity of its first finding.
     """
     names = {"critical": 4, "high": 3, "medium": 2, "low": 1}
-    plugins = findings.groupBy("plugin_id").agg(F.min(F.struct("finding_ord", "severity")).getField("severity").alias("severity"))
+    plugins = findings.groupBy("plugin_id").agg(F.min(F.struct(*_document_order(findings), "severity")).getField("severity").alias("severity"))
     by_plugin = plugins.agg(
         F.count(F.lit(1)).alias("plugins"), *[F.count_if(F.col("severity") == v).alias(n) for n, v in names.items()]
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from exposure import schemas
 from exposure.functions import columns as C
 from exposure.operators import diff, merge, rollups, scripts, tags, topology, vulns
 from exposure.operators.risk import with_port_risk
@@ -48,6 +49,17 @@ def jn05_cve_match(p):
     return vulns.match_cves(p.ports, p.vuln_db).drop("cvss_class")
 
 
+@query("""SELECT scan_id, ip, cve, cvss, port, cpe, match FROM (
+  SELECT o.scan_id, o.ip, v.cve, v.cvss, o.port, v.cpe, CASE WHEN o.cpe = v.cpe THEN 'exact' ELSE 'prefix' END AS match,
+    row_number() OVER (PARTITION BY o.scan_id, o.ip, v.cve ORDER BY o.port, CASE WHEN o.cpe = v.cpe THEN 0 ELSE 1 END, v.cpe, v.ord) AS rn
+  FROM (SELECT scan_id, ip, concat(replace(cpe, 'cpe:/', 'cpe:2.3:'), ':*:*:*:*:*:*:*') AS cpe, min(port) AS port FROM port_obs WHERE state = 'open' AND cpe IS NOT NULL GROUP BY ALL) o
+  JOIN vuln_db v ON array_to_string(list_slice(string_split(v.cpe, ':'), 1, 5), ':') = array_to_string(list_slice(string_split(o.cpe, ':'), 1, 5), ':')) m WHERE rn = 1""")
+def jn05_cve_match_literal(p):
+    """Hosts against the database by the literal prefix rule, exact hits first; ports report CPEs in the database's form."""
+    ports = p.ports.withColumn("cpe", F.concat(C.cpe_23(F.col("cpe")), F.lit(":*:*:*:*:*:*:*")))
+    return vulns.match_cves(ports, p.vuln_db, "literal").drop("cvss_class", "descr")
+
+
 LITERAL_SQL = """SELECT o.cpe, v.cpe AS db_cpe, CASE WHEN o.cpe = v.cpe THEN 'exact' ELSE 'prefix' END AS match
 FROM (SELECT DISTINCT cpe, array_to_string(list_slice(string_split(cpe, ':'), 1, 5), ':') AS base FROM (
     SELECT cpe FROM port_obs WHERE cpe IS NOT NULL UNION ALL SELECT replace(cpe, 'cpe:/', 'cpe:2.3:') FROM port_obs WHERE cpe IS NOT NULL UNION ALL SELECT 'cpe:2.3:a' UNION ALL SELECT cpe FROM vuln_db) u) o
@@ -190,7 +202,7 @@ def mg03_merge_os(p):
 
 @query("""SELECT 0 AS scan_id, f.ip, f.plugin_id, f.port, f.finding_ord, CAST(f.scan_id AS BIGINT) AS load_ord, f.severity FROM (
   SELECT f.*, h.first_scan, row_number() OVER (PARTITION BY f.ip, f.plugin_id, f.port ORDER BY f.scan_id, f.finding_ord) AS rn
-  FROM finding f JOIN (SELECT ip, min(scan_id) AS first_scan FROM host_obs GROUP BY ip) h ON h.ip = f.ip WHERE f.scan_id >= h.first_scan) f WHERE rn = 1 OR f.scan_id = f.first_scan""")
+  FROM finding f JOIN (SELECT ip, min(scan_id) AS first_scan FROM (SELECT ip, scan_id FROM host_obs UNION ALL SELECT ip, scan_id FROM finding) s GROUP BY ip) h ON h.ip = f.ip) f WHERE rn = 1 OR f.scan_id = f.first_scan""")
 def mg04_merge_findings(p):
     return merge.merge_findings(loads(p.findings), loads(p.hosts)).select("scan_id", "ip", "plugin_id", "port", "finding_ord", "load_ord", "severity")
 
@@ -462,17 +474,20 @@ def sk02_host_sheet_compact(p):
     return exports.host_sheet_compact(scored(p, "desktop"))
 
 
-@query("""SELECT h.scan_id, h.ip, coalesce(p.n, 0) AS ports, coalesce(f.n, 0) AS findings, p.first_port, f.worst FROM host_obs h
-LEFT JOIN (SELECT scan_id, ip, count(*) AS n, min(port) AS first_port FROM port_obs GROUP BY ALL) p USING (scan_id, ip)
-LEFT JOIN (SELECT scan_id, ip, count(*) AS n, max(severity) AS worst FROM finding GROUP BY ALL) f USING (scan_id, ip)""")
+@query("""SELECT 'host' AS kind, h.scan_id, h.ip, h.hostname AS name, CAST(NULL AS INT) AS finding_ord, CAST(NULL AS INT) AS severity,
+  coalesce(string_agg(concat(o.port, '/', o.proto, ' ', o.state, ' ', coalesce(o.product, '')), ';' ORDER BY o.port, o.proto), '') AS content
+FROM host_obs h LEFT JOIN port_obs o USING (scan_id, ip) GROUP BY h.scan_id, h.ip, h.hostname
+UNION ALL SELECT 'finding', scan_id, ip, plugin_name, CAST(finding_ord AS INT), CAST(severity AS INT), concat(plugin_id, ' ', coalesce(CAST(port AS VARCHAR), '')) FROM finding""")
 def sk03_nested_json(p):
-    docs = exports.host_documents(p.inventory.with_tables(trace=None), limit=3)
-    text = docs.select(F.to_json(F.struct(*[F.col(c) for c in docs.columns])).alias("json"))
-    back = text.select(F.from_json("json", "scan_id int, ip string, part int, ports array<struct<port:int>>, findings array<struct<severity:int>>").alias("d")).select("d.*")
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    return back.groupBy("scan_id", "ip").agg(
-        F.sum(F.when(F.col("part") == 0, size("ports")).otherwise(0)).alias("ports"), F.sum(F.when(F.col("findings").isNull(), 0).otherwise(size("findings"))).alias("findings"),
-        F.max(F.get(F.col("ports.port"), F.lit(0))).alias("first_port"), F.max(F.array_max("findings.severity")).alias("worst"),
+    text = exports.export_documents(p.inventory.with_tables(trace=None))
+    schema = """kind string, scan_id int, ip string, hostname string, plugin_name string, finding_ord int, severity int, plugin_id int, port int,
+        ports array<struct<port:int,proto:string,state:string,product:string>>"""
+    back = text.select(F.from_json("value", schema).alias("d")).select("d.*")
+    line = lambda o: F.concat(o["port"].cast("string"), F.lit("/"), o["proto"], F.lit(" "), o["state"], F.lit(" "), F.coalesce(o["product"], F.lit("")))
+    ports = F.coalesce(F.array_join(F.transform("ports", line), ";"), F.lit(""))
+    finding = F.concat(F.col("plugin_id").cast("string"), F.lit(" "), F.coalesce(F.col("port").cast("string"), F.lit("")))
+    return back.select(
+        "kind", "scan_id", "ip", F.coalesce("hostname", "plugin_name").alias("name"), "finding_ord", "severity", F.when(F.col("kind") == "host", ports).otherwise(finding).alias("content"),
     )
 
 
@@ -487,7 +502,8 @@ def sk05_tag_sheet(p):
     return exports.tag_sheet(p.tags, p.latest_hosts).withColumn("labels", F.array_join("labels", ";")).drop("last_seen")
 
 
-@query("SELECT cpe, count(*) AS entries, min(cve) AS first_cve, max(cvss) AS worst FROM vuln_db GROUP BY cpe")
+@query("SELECT cpe, CAST(ord AS BIGINT) AS ord, cve, cvss, CAST(NULL AS VARCHAR) AS severity, descr FROM vuln_db WHERE cve IS NOT NULL")
 def sk06_vuln_documents(p):
-    docs = exports.vuln_documents(p.vuln_db, limit=4)
-    return docs.groupBy("cpe").agg(F.sum(F.size("vulns").cast("bigint")).alias("entries"), F.min(F.array_min("vulns.cve")).alias("first_cve"), F.max(F.array_max("vulns.cvss")).alias("worst"))
+    lines = exports.vuln_documents(p.vuln_db)
+    text = lines.select(F.to_json(F.struct(*[F.col(c) for c in lines.columns])).alias("value"))
+    return text.select(F.from_json("value", schemas.VULN_DB_LINE).alias("d")).select("d.*").withColumnRenamed("desc", "descr")

@@ -449,6 +449,16 @@ def tk01_top_risky_hosts(p):
     return risk.top_risky_hosts(scored(p))
 
 
+@query("""SELECT scan_id, ip, hostname, risk, CASE WHEN risk >= 70 THEN 'critical' WHEN risk >= 50 THEN 'high' WHEN risk >= 25 THEN 'medium' ELSE 'low' END AS level,
+  CASE WHEN critical_findings > 0 THEN concat(critical_findings, ' critical vulns') WHEN high_findings > 0 THEN concat(high_findings, ' high vulns')
+    WHEN top_port IS NOT NULL THEN concat('Port ', top_port) ELSE 'Multiple factors' END AS reason
+FROM (SELECT s.*, coalesce(n.critical_findings, 0) AS critical_findings, coalesce(n.high_findings, 0) AS high_findings,
+    (SELECT port FROM port_facts_desktop f WHERE f.scan_id = s.scan_id AND f.ip = s.ip AND f.state = 'open' AND f.score > 0 ORDER BY f.score DESC, f.port LIMIT 1) AS top_port
+  FROM (SELECT * FROM scored_desktop ORDER BY risk DESC, scan_id, ip LIMIT 5) s LEFT JOIN finding_count n USING (scan_id, ip)) t""")
+def tk01_top_risky_hosts_desktop(p):
+    return risk.top_risky_hosts(scored(p, "desktop"), profile="desktop")
+
+
 @query("""SELECT s.scan_id, s.ip, s.risk, s.critical_findings, s.high_findings,
   CASE WHEN critical_findings > 0 THEN concat(critical_findings, ' critical vulns') WHEN high_findings > 0 THEN concat(high_findings, ' high vulns')
     WHEN t.port IS NOT NULL THEN concat('Port ', t.port) ELSE 'Multiple factors' END AS reason
@@ -532,12 +542,29 @@ def topk_rollup(p, by):
     return vulns.sort_rollup(vulns.vulnerability_rollup(p.findings), by).select("plugin_id", "plugin_name", "severity", "cvss3", "entries", "hosts")
 
 
-@query("""SELECT scan_id, ip, risk, port_rows, CAST(row_number() OVER (ORDER BY port_rows DESC, scan_id, ip) AS INT) <= 100 AS in_first_hundred
-FROM (SELECT s.scan_id, s.ip, s.risk, (SELECT count(*) FROM port_obs o WHERE o.scan_id = s.scan_id AND o.ip = s.ip) AS port_rows FROM scored_web s) x ORDER BY port_rows DESC, scan_id, ip LIMIT 100""")
-def tk05_entities_by_ports(p):
+def entities(p, by):
     rows = p.ports.groupBy(*KEY).agg(F.count(F.lit(1)).alias("port_rows"))
-    out = topk.sort_entities(scored(p).join(rows, KEY, "left").withColumn("port_rows", F.coalesce("port_rows", F.lit(0).cast("bigint"))), "ports", 100)
-    return out.select(*KEY, "risk", "port_rows", F.lit(True).alias("in_first_hundred"))
+    counted = scored(p).join(rows, KEY, "left").withColumn("port_rows", F.coalesce("port_rows", F.lit(0).cast("bigint")))
+    return topk.sort_entities(counted, by, 100).select(*KEY, "risk", "port_rows")
+
+
+ENTITIES_SQL = """SELECT s.scan_id, s.ip, s.risk, coalesce(o.n, 0) AS port_rows
+FROM scored_web s LEFT JOIN (SELECT scan_id, ip, count(*) AS n FROM port_obs GROUP BY ALL) o USING (scan_id, ip) ORDER BY {} LIMIT 100"""
+
+
+@query(ENTITIES_SQL.format("port_rows DESC, scan_id, ip"))
+def tk05_entities_by_ports(p):
+    return entities(p, "ports")
+
+
+@query(ENTITIES_SQL.format("risk DESC, scan_id, ip"))
+def tk05_entities_by_risk(p):
+    return entities(p, "risk")
+
+
+@query(ENTITIES_SQL.format("ip, scan_id"))
+def tk05_entities_by_ip(p):
+    return entities(p, "ip")
 
 
 @query("SELECT scan_id, ip, finding_ord, severity, cvss3 FROM finding")

@@ -36,7 +36,7 @@ SELECT host_id, scan_id, port, proto,
     WHEN 23 THEN 'telnet' ELSE NULL END AS svc,
   CASE WHEN l_partkey % 3 = 0 THEN concat('prod', l_partkey % 24) ELSE NULL END AS product,
   CASE WHEN l_partkey % 6 = 0 THEN concat(l_partkey % 7, '.', l_partkey % 4) ELSE NULL END AS version,
-  CASE WHEN l_partkey % 2 = 0 THEN concat('cpe:/a:v', l_partkey % 5, ':prod', l_partkey % 24, ':', l_partkey % 11) ELSE NULL END AS cpe
+  CASE WHEN l_partkey % 2 = 0 THEN concat('cpe:/a:v', l_partkey % 5, ':prod', l_partkey // 40, ':', l_partkey % 11) ELSE NULL END AS cpe
 FROM (SELECT *, row_number() OVER (PARTITION BY host_id, scan_id, port, proto
         ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS rn
   FROM (SELECT CAST(o_custkey AS BIGINT) AS host_id, CAST(year(o_orderdate) AS INT) AS scan_id,
@@ -67,7 +67,7 @@ FROM events e JOIN host_dim h ON h.host_id = CASE WHEN e.event_id % 3 = 0 THEN 7
 SELECT *, CASE severity WHEN 1 THEN 'Low' WHEN 2 THEN 'Medium' WHEN 3 THEN 'High' ELSE 'Critical' END AS severity_label
 FROM report_item WHERE severity > 0""",
     "vuln_db": """
-SELECT concat('cpe:2.3:a:v', p_partkey % 5, ':prod', p_partkey % 24, ':', p_partkey % 11, ':*:*:*:*:*:*:*') AS cpe, p_partkey AS ord,
+SELECT concat('cpe:2.3:a:v', p_partkey % 5, ':prod', p_partkey // 40, ':', p_partkey % 11, ':*:*:*:*:*:*:*') AS cpe, p_partkey AS ord,
   concat('CVE-', 2000 + p_size % 25, '-', p_partkey) AS cve, CAST(p_partkey % 101 AS DOUBLE) / 10 AS cvss, p_name AS descr FROM part""",
     "asset_tag": """
 SELECT CASE WHEN mac IS NULL THEN concat('ip:', ip) ELSE concat('mac:', upper(mac)) END AS asset_key,

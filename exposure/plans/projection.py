@@ -88,7 +88,7 @@ class Projection:
             "CASE l_returnflag WHEN 'R' THEN 'closed' WHEN 'A' THEN 'filtered' ELSE 'open' END AS state",
             f"{case_sql('part % 24', SERVICES)} AS svc", "CASE WHEN part % 3 = 0 THEN concat('prod', part % 24) END AS product",
             "CASE WHEN part % 6 = 0 THEN concat(part % 7, '.', part % 4) END AS version",
-            "CASE WHEN part % 2 = 0 THEN concat('cpe:/a:v', part % 5, ':prod', part % 24, ':', part % 11) END AS cpe",
+            "CASE WHEN part % 2 = 0 THEN concat('cpe:/a:v', part % 5, ':prod', part DIV 40, ':', part % 11) END AS cpe",
         )
 
     @cached_property
@@ -148,7 +148,7 @@ class Projection:
         part = F.col("p_partkey")
         return self.table("part").select(
             F.concat(
-                F.lit("cpe:2.3:a:v"), text(part % 5), F.lit(":prod"), text(part % 24), F.lit(":"), text(part % 11), F.lit(":*:*:*:*:*:*:*")
+                F.lit("cpe:2.3:a:v"), text(part % 5), F.lit(":prod"), text(F.floor(part / 40)), F.lit(":"), text(part % 11), F.lit(":*:*:*:*:*:*:*")
             ).alias("cpe"),
             part.alias("ord"),
             F.concat(F.lit("CVE-"), text(2000 + F.col("p_size") % 25), F.lit("-"), text(part)).alias("cve"),

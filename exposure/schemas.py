@@ -34,7 +34,7 @@ ReportItem array<struct<
 
 VULN_ENTRIES = "array<struct<cve:string,cvss:double,severity:string,desc:string,description:string>>"
 VULN_DB = f"map<string,{VULN_ENTRIES}>"
-VULN_DB_LINE = f"cpe string, vulns {VULN_ENTRIES}"
+VULN_DB_LINE = "cpe string, ord bigint, cve string, cvss double, severity string, desc string"
 
 _METRIC = "array<struct<cvssData:struct<baseScore:double>>>"
 NVD_CVE = f"""struct<

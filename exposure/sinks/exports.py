@@ -48,26 +48,11 @@ def write_csv(sheet: DataFrame, path: str, quote_all: bool = False, mode: str =
     writer.option("quoteAll", quote_all).csv(path)
 
 
-def nested_parts(df: DataFrame, keys: list[str], item: Column, order: Column, limit: int, name: str) -> DataFrame:
-    """Children nested under ``keys`` in documents of about ``limit`` items.
+def host_documents(inventory) -> DataFrame:
+    """Hosts with their ports and trace nested, as in the JSON export.
 
-    A key with more children gets several documents, numbered ``part`` of ``parts``, so no
-    task ever holds all children of a hot key and nothing is dropped.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / limit).cast("int")
-    placed = df.select(*keys, item.alias("item"), order.alias("order")).join(sizes, keys).select(
-        *keys, "item", "order", parts.alias("parts"), F.pmod(F.xxhash64("order", F.to_json("item")), parts).cast("int").alias("part")
-    )
-    nested = F.transform(F.sort_array(F.collect_list(F.struct("order", "item"))), lambda x: x["item"])
-    return placed.groupBy(*keys, "part", "parts").agg(nested.alias(name))
-
-
-def host_documents(inventory, limit: int = 10000) -> DataFrame:
-    """Hosts with their ports, trace and findings nested, as in the JSON export.
-
-    Ports and hops of a host are bounded; findings are not, so a host with more than
-    ``limit`` of them gets further documents holding the rest.
+    Ports and hops of a host are bounded by their number ranges. Findings are not, so they
+    are documents of their own, whatever their number: :func:`finding_documents`.
     """
     fields = lambda df: F.struct(*[F.col(c) for c in df.columns if c not in KEY and c != "host_ord"])
     nest = lambda df, order, name: df.groupBy(*KEY).agg(
@@ -76,17 +61,24 @@ def host_documents(inventory, limit: int = 10000) -> DataFrame:
     docs = inventory.hosts.join(nest(inventory.ports, ["port", "proto"], "ports"), KEY, "left")
     if inventory.trace is not None:
         docs = docs.join(nest(inventory.trace, ["hop_ord"], "trace"), KEY, "left")
-    first = docs.withColumn("part", F.lit(0))
-    if inventory.findings is None:
-        return first
-    found = nested_parts(inventory.findings, KEY, fields(inventory.findings), F.col("finding_ord"), limit, "findings").drop("parts")
-    head = first.join(found, [*KEY, "part"], "left")
-    rest = found.where(F.col("part") > 0).join(inventory.hosts.select(*KEY), KEY, "left_semi")
-    return head.unionByName(rest, allowMissingColumns=True)
+    return docs.withColumn("kind", F.lit("host"))
+
 
+def finding_documents(inventory) -> DataFrame:
+    """One document per finding, with the host's key and its place in the report."""
+    return inventory.findings.withColumn("kind", F.lit("finding"))
 
-def write_json(documents: DataFrame, path: str, mode: str = "error") -> None:
-    documents.write.mode(mode).option("ignoreNullFields", True).json(path)
+
+def export_documents(inventory) -> DataFrame:
+    """The documents of the JSON export as one column of text, one line each."""
+    text = lambda df: df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("value"))
+    docs = text(host_documents(inventory))
+    return docs if inventory.findings is None else docs.unionByName(text(finding_documents(inventory)))
+
+
+def write_json(inventory, path: str, mode: str = "error") -> None:
+    """One JSON document per line; ``kind`` says whether it is a host or a finding."""
+    export_documents(inventory).write.mode(mode).text(path)
 
 
 def cpe_list(ports: DataFrame) -> DataFrame:
@@ -99,15 +91,10 @@ def tag_sheet(tags: DataFrame, hosts: DataFrame) -> DataFrame:
     return export_tags(tags, hosts)
 
 
-def vuln_documents(vuln_db: DataFrame, limit: int = 10000) -> DataFrame:
-    """Database rows grouped per CPE, in the line form the reader takes.
-
-    A CPE with more than ``limit`` CVEs is written as several lines.
-    """
-    entry = F.struct("cve", "cvss", "severity", F.col("descr").alias("desc"))
-    rows = vuln_db.where(F.col("cve").isNotNull())
-    return nested_parts(rows, ["cpe"], entry, F.struct("ord", "cve"), limit, "vulns")
+def vuln_documents(vuln_db: DataFrame) -> DataFrame:
+    """Database rows in the line form the reader takes: one line per CPE and entry, with its place."""
+    return vuln_db.where(F.col("cve").isNotNull()).select("cpe", "ord", "cve", "cvss", "severity", F.col("descr").alias("desc"))
 
 
 def write_vuln_db(vuln_db: DataFrame, path: str, mode: str = "error") -> None:
-    vuln_documents(vuln_db).select("cpe", "vulns").write.mode(mode).json(path)
+    vuln_documents(vuln_db).write.mode(mode).json(path)

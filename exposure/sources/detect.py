@@ -2,38 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-MARKERS = [("<nmaprun", "nmap"), ("<NessusClientData", "nessus")]
-HEAD = 500
+# Root element -> scanner.
+ROOTS = {"nmaprun": "nmap", "NessusClientData": "nessus", "NessusClientData_v2": "nessus"}
+#: What may stand before the root element: a byte order mark, declarations, comments and a document type.
+PROLOG = r"(?s)^\uFEFF?\s*(?:(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>)\s*)*+"
 
 
-def detect_format(document: Column) -> Column:
-    """``nmap``, ``nessus`` or ``unknown`` from the root tag within the first 500 characters."""
-    head = F.substring(document, 1, HEAD)
+def scanner_of(root: Column) -> Column:
     out = None
-    for marker, name in MARKERS:
-        out = F.when(head.contains(marker), name) if out is None else out.when(head.contains(marker), name)
+    for name, scanner in ROOTS.items():
+        out = F.when(root == name, scanner) if out is None else out.when(root == name, scanner)
     return out.otherwise("unknown")
 
 
+def detect_format(document: Column) -> Column:
+    """``nmap``, ``nessus`` or ``unknown`` from the first element, however long the prolog before it."""
+    return scanner_of(F.regexp_extract(document, PROLOG + r"<([\w:.-]+)", 1))
+
+
 def file_formats(spark: SparkSession, paths) -> DataFrame:
     """``scan_id`` (the path) and ``format`` of every file, ``unknown`` ones included.
 
-    Lines are read in splits and reduced to the first root tag per file, so no file is
-    loaded whole.
+    Files are read as text that ends at each ``>``, in splits, so no file is loaded whole. Each
+    file's first piece that begins an element names the root. Comments are passed over: a
+    piece inside one is known by the number of comments opened and closed before it, for which
+    only the pieces up to the first element outside a comment that the file could have, the
+    first whose own text is not part of a comment, are looked at.
     """
-    lines = spark.read.text(paths).select(
+    pieces = spark.read.option("lineSep", ">").text(paths).select(
         F.col("_metadata.file_path").alias("scan_id"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), "value",
     )
-    kind = None
-    for marker, name in MARKERS:
-        hit = F.col("value").contains(marker)
-        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
-    tagged = lines.withColumn("format", kind)
-    first = F.min_by("format", F.when(F.col("format").isNotNull(), F.col("at")))
-    return tagged.groupBy("scan_id").agg(F.coalesce(first, F.lit("unknown")).alias("format"))
+    opens = F.col("value").contains("<!--")
+    closes = F.col("value").endswith("--")
+    name = F.regexp_extract("value", r"^\uFEFF?\s*<([A-Za-z_][\w:.-]*)", 1)
+    # Scanners close their comments before the root; the last comment closed before the first marker bounds the prolog.
+    marks = pieces.withColumn("name", name).where(opens | closes | (F.col("name") != ""))
+    marks = marks.select("scan_id", "at", "name", F.when(opens, 1).otherwise(0).alias("opened"), F.when(closes, 1).otherwise(0).alias("closed"))
+    known = marks.groupBy("scan_id").agg(F.min(F.when(F.col("name").isin(*ROOTS), F.col("at"))).alias("bound"), F.min(F.when(F.col("name") != "", F.col("at"))).alias("first"))
+    prolog = marks.join(known, "scan_id").where(F.col("at") <= F.coalesce("bound", "first"))
+    before = Window.partitionBy("scan_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.coalesce(F.sum(F.col("opened") - F.col("closed")).over(before), F.lit(0))
+    roots = prolog.withColumn("depth", depth).where((F.col("name") != "") & (F.col("depth") <= 0)).groupBy("scan_id").agg(F.min_by("name", "at").alias("root"))
+    files = pieces.select("scan_id").distinct()
+    return files.join(roots, "scan_id", "left").select("scan_id", scanner_of(F.coalesce("root", F.lit(""))).alias("format"))
 
 
 def rejects(formats: DataFrame) -> DataFrame:

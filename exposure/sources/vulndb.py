@@ -30,8 +30,8 @@ def read_documents(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, paths) -> DataFrame:
-    """The splittable form: one ``{"cpe": .., "vulns": [..]}`` object per line."""
-    return _rows(spark.read.schema(schemas.VULN_DB_LINE).json(paths), F.col("cpe"), F.col("vulns"))
+    """The splittable form: one entry per line, with its CPE and its place among the CPE's entries."""
+    return spark.read.schema(schemas.VULN_DB_LINE).json(paths).withColumnRenamed("desc", "descr")
 
 
 def cvss_score(metrics: Column) -> Column:
@@ -87,7 +87,11 @@ def cpe_cves(cves: DataFrame) -> DataFrame:
 
 
 def database_from_nvd(cves: DataFrame) -> DataFrame:
-    """NVD CVEs as database rows; entries of a CPE are ordered by CVE id."""
+    """NVD CVEs as database rows; entries of a CPE are ordered by CVE id.
+
+    ``ord`` is the id's year and number in one integer.
+    """
+    year, number = (F.regexp_extract("cve", r"^CVE-(\d{4})-(\d+)$", k).try_cast("bigint") for k in (1, 2))
     return cpe_cves(cves).select(
-        "cpe", F.xxhash64("cve").alias("ord"), "cve", "cvss", F.lit(None).cast("string").alias("severity"), "descr"
+        "cpe", F.coalesce(year * 10_000_000_000 + number, F.lit(0).cast("bigint")).alias("ord"), "cve", "cvss", F.lit(None).cast("string").alias("severity"), "descr"
     )

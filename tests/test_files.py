@@ -132,8 +132,19 @@ def test_formats_and_rejects(spark, nmap_dir, tmp_path):
     formats = detect.file_formats(spark, str(tmp_path))
     assert {r.scan_id.rsplit("/", 1)[1]: r.format for r in formats.collect()} == {"a.xml": "nmap", "b.nessus": "nessus", "c.txt": "unknown"}
     assert [r.scan_id.rsplit("/", 1)[1] for r in detect.rejects(formats).collect()] == ["c.txt"]
-    texts = spark.createDataFrame([(" <nmaprun/>",), ("x" * 600 + "<nmaprun/>",), ("<NessusClientData_v2>",)], "t string")
-    assert [r.f for r in texts.select(detect.detect_format(F.col("t")).alias("f")).collect()] == ["nmap", "unknown", "nessus"]
+    long = "<?xml version='1.0'?><!DOCTYPE nmaprun [<!ENTITY a 'b'>]>" + "<!-- <NessusClientData_v2> > " + "y" * 2000 + " -->"
+    texts = [(" <nmaprun/>", "nmap"), ("x" * 600 + "<nmaprun/>", "unknown"), ("<NessusClientData_v2>", "nessus"), (long + "\n<nmaprun>", "nmap"), ("<html><nmaprun></html>", "unknown"), ("", "unknown"), ("<nmaprunner>", "unknown")]
+    df = spark.createDataFrame([(t,) for t, _ in texts], "t string")
+    assert [r.f for r in df.select(detect.detect_format(F.col("t")).alias("f")).collect()] == [f for _, f in texts]
+
+
+def test_file_formats_follow_the_first_element(spark, tmp_path):
+    for name, text in {
+        "a": "<?xml version='1.0'?>\n<!-- " + "z" * 2000 + " <x> -->\n<nmaprun a='1'><host/></nmaprun>", "b": "<page><!-- hi --><nmaprun/></page>", "c": "<NessusClientData_v2>\n</NessusClientData_v2>", "d": "no xml <nmaprun>",
+    }.items():
+        (tmp_path / f"{name}.xml").write_text(text)
+    got = {r.scan_id[-5]: r.format for r in detect.file_formats(spark, str(tmp_path)).collect()}
+    assert got == {"a": "nmap", "b": "unknown", "c": "nessus", "d": "unknown"}
 
 
 def test_vulnerability_database_round_trip(spark, tmp_path, rows):
@@ -147,12 +158,12 @@ def test_vulnerability_database_round_trip(spark, tmp_path, rows):
     assert {(r.cpe, r.cve, r.cvss, r.descr) for r in again.collect()} == {("cpe:a", "C1", 9.8, "d"), ("cpe:a", "C2", None, "e")}
 
 
-def test_a_cpe_with_many_cves_is_written_in_parts_and_stays_whole(rows):
-    db = rows([{"cpe": "hot", "ord": n, "cve": f"C{n}"} for n in range(500)] + [{"cpe": "cold", "ord": 0, "cve": "C0"}], VULN)
-    docs = exports.vuln_documents(db, limit=50).collect()
-    hot = [d for d in docs if d.cpe == "hot"]
-    assert len(hot) > 5 and max(len(d.vulns) for d in hot) < 120
-    assert sorted(v.cve for d in hot for v in d.vulns) == sorted(f"C{n}" for n in range(500))
+@pytest.mark.parametrize("entries", [1, 20_001])
+def test_a_cpe_keeps_its_entries_and_their_places(spark, rows, tmp_path, entries):
+    db = rows([{"cpe": "hot", "ord": n, "cve": f"C{n}"} for n in range(entries)] + [{"cpe": "cold", "ord": 0, "cve": "C0"}], VULN)
+    exports.write_vuln_db(db, str(tmp_path / "db"))
+    back = vulndb.read_lines(spark, str(tmp_path / "db")).collect()
+    assert sorted((r.cpe, r.ord, r.cve) for r in back) == sorted([("cold", 0, "C0"), *(("hot", n, f"C{n}") for n in range(entries))])
 
 
 def test_nvd_pages(spark, tmp_path):
@@ -189,19 +200,18 @@ def test_csv_quoting(spark, tmp_path, rows):
     assert list(csv.reader(read("compact").splitlines())) == [["IP", "Hostname", "Status", "OS", "OpenPorts", "RiskScore", "CleartextCount"], ["192.0.2.1", 'a "b", c', "up", "", "2", "7", "1"]]
 
 
-def test_json_documents_keep_every_finding_of_a_hot_host(spark, rows, tmp_path):
+@pytest.mark.parametrize("count", [1, 20_001])
+def test_json_documents_keep_every_finding_of_a_hot_host(spark, rows, tmp_path, count):
     from conftest import FINDING
     from exposure.inventory import Inventory
 
     hosts = rows([{"scan_id": 1, "ip": "hot", "status": "up"}, {"scan_id": 1, "ip": "bare", "status": "up"}], HOST)
     ports = rows([{"scan_id": 1, "ip": "hot", "port": 22, "proto": "tcp", "state": "open"}], PORT)
-    findings = rows([{"scan_id": 1, "ip": "hot", "finding_ord": n, "plugin_id": n, "severity": 1} for n in range(300)], FINDING)
-    exports.write_json(exports.host_documents(Inventory(hosts=hosts, ports=ports, findings=findings), limit=40), str(tmp_path / "docs"))
-    docs = [json.loads(line) for name in glob.glob(f"{tmp_path}/docs/*.json") for line in open(name)]
-    assert sorted(f["plugin_id"] for d in docs for f in d.get("findings", [])) == list(range(300))
-    assert max(len(d.get("findings", [])) for d in docs) < 120
-    assert [d["ports"][0]["port"] for d in docs if d["ip"] == "hot" and d["part"] == 0] == [22]
-    assert [d["part"] for d in docs if d["ip"] == "bare"] == [0]
+    findings = rows([{"scan_id": 1, "ip": "hot", "finding_ord": n, "plugin_id": n, "severity": 1} for n in range(count)], FINDING)
+    exports.write_json(Inventory(hosts=hosts, ports=ports, findings=findings), str(tmp_path / "docs"))
+    docs = [json.loads(line) for name in glob.glob(f"{tmp_path}/docs/*.txt") for line in open(name)]
+    assert sorted(d["finding_ord"] for d in docs if d["kind"] == "finding") == list(range(count))
+    assert {d["ip"]: [p["port"] for p in d.get("ports", [])] for d in docs if d["kind"] == "host"} == {"hot": [22], "bare": []}
 
 
 def test_script_rules(spark):

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from exposure.plans.queries import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -35,12 +36,12 @@ def normal(rows, names):
     return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(name, spark, duck):
-    result = entry.queries()[name](spark, SF_DIR)
+    result = QUERIES[name](spark, SF_DIR)
     got = normal([tuple(r) for r in result.collect()], result.columns)
-    assert name in entry.oracle_sql(), "every query so far has SQL"
-    cursor = duck.execute(entry.oracle_sql()[name])
+    assert name in ORACLES, "every query so far has SQL"
+    cursor = duck.execute(ORACLES[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(result.columns)
     assert got == normal(cursor.fetchall(), names)
