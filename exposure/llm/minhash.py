@@ -35,6 +35,8 @@ from exposure.llm.components import components
 from exposure.llm.shared import stored
 
 BLOCK = 256
+#: Nodes of families, of about 60 bytes each, that may be sent to every executor.
+BROADCAST_MEMBERS = 200_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -203,7 +205,9 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(node[~own]), pa.array(node[root[~own]])], ["a", "b"])
 
     sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # Few members go to the tasks that read the texts; more of them, and all texts, meet in a shuffle.
     wanted = members.join(sizes, "family")
+    wanted = F.broadcast(wanted) if members.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS else wanted
     texts = docs.select(F.col(id_col).cast("long").alias("rep_id"), F.col(text_col).alias("text"))
     held = texts.join(wanted, texts["rep_id"].eqNullSafe(wanted["rep"])).select("node", "family", "blocks", "k1", "k2", "text")
     held = held.mapInArrow(with_sets, "node long, family long, blocks int, shingles binary")
