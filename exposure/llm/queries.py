@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import dac, decontamination, minhash, packing, perplexity, prefix_counts, quality, suffixes, tool_calls, toxicity
+from exposure.llm import dac, decontamination, minhash, oracles, packing, perplexity, prefix_counts, quality, suffixes, tool_calls, toxicity
 from exposure.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_positional_index": oracles.CONTAMINATION, "op4_previous_factors": oracles.REPEATS, "op8_tensored_minhash": oracles.NEAR_GROUPS}
 
 
 def query(f):
