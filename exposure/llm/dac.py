@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from exposure.llm import arrow_text as at
+from exposure.llm.shared import small, stored
 from exposure.llm.tokens import id_table
 
 WIDTHS = (8, 8, 16)
@@ -146,7 +147,7 @@ def blocks_at(spark: SparkSession, path: str) -> DataFrame:
     within = Window.partitionBy("shard").orderBy("block")
     starts = blocks.select("shard", "block", (F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("in_shard"))
     starts = starts.join(before, "shard").select("shard", "block", (F.col("shard_start") + F.col("in_shard")).alias("block_start"))
-    return blocks.join(starts, ["shard", "block"])
+    return blocks.join(small(stored(starts, "starts")), ["shard", "block"])  # the blocks themselves stay where they are while there are few
 
 
 def documents_at(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
