@@ -8,6 +8,7 @@ import pytest
 from conftest import FINDING, HOST, PORT
 from exposure import dims
 from exposure.operators import diff, merge
+from pyspark.sql import functions as F
 
 
 def random_scans(seed):
@@ -129,3 +130,24 @@ def test_import_report(rows):
     host = lambda ip, status="up": {"scan_id": 1, "ip": ip, "status": status}
     report = merge.import_report(rows([host("a"), host("b", "down")], HOST), rows([host("b"), host("c", "down")], HOST)).first()
     assert (report.added, report.updated, report.total, report.up, report.down, report.findings) == (1, 1, 3, 2, 1, 0)
+
+
+@pytest.mark.parametrize("profile", ["web", "desktop"])
+def test_findings_before_or_without_their_host_stay(rows, profile):
+    hosts = rows([{"scan_id": 2, "ip": "a", "status": "up"}], HOST).withColumn("load_ord", F.col("scan_id").cast("bigint"))
+    findings = rows([{"scan_id": s, "ip": ip, "finding_ord": 0, "plugin_id": s, "port": 1, "severity": 1} for s, ip in ((1, "a"), (2, "a"), (3, "nowhere"))], FINDING)
+    kept = merge.merge_findings(findings.withColumn("load_ord", F.col("scan_id").cast("bigint")), hosts, profile)
+    assert sorted((r.ip, r.plugin_id) for r in kept.collect()) == [("a", 1), ("a", 2), ("nowhere", 3)]
+
+
+def test_the_first_port_of_a_document_wins(spark):
+    schema = "scan_id int, ip string, port int, proto string, state string, product string, load_ord bigint, host_ord int, port_ord int"
+    ports = spark.createDataFrame([(1, "a", 80, "tcp", "open", None, 1, 0, 0), (1, "a", 80, "tcp", "closed", None, 1, 0, 1), (1, "b", 80, "tcp", "open", None, 1, 3, 0), (1, "b", 80, "tcp", "closed", None, 1, 2, 5)], schema)
+    for profile in ("web", "desktop"):
+        assert sorted((r.ip, r.state) for r in merge.merge_ports(ports, profile).collect()) == [("a", "open"), ("b", "closed")]
+
+
+def test_script_results_count_once(spark):
+    rows = [("a", 22, "s", "late", 2), ("a", 22, "s", "early", 1), ("a", None, "t", None, 1), ("a", None, "t", None, 2)]
+    scripts = spark.createDataFrame(rows, "ip string, port int, script_id string, output string, load_ord bigint")
+    assert sorted((r.script_id, r.output) for r in merge.merge_scripts(scripts).collect()) == [("s", "early"), ("t", None)]

@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 from conftest import FINDING, HOST, PORT
 from exposure import dims
 from exposure.operators import risk
@@ -98,3 +100,10 @@ def test_dashboard_rules(rows, spark):
     web, desktop = risk.dashboard_totals(scored).first(), risk.dashboard_totals(scored, "desktop").first()
     assert (web.hosts, web.hosts_up, web.open_ports, web.cleartext_services, web.average_risk) == (3, 2, 3, 1, 11)
     assert (desktop.cleartext_services, desktop.average_risk) == (2, 20)
+
+
+def test_rank_contributions_have_no_cap(rows):
+    ports = rows([{"scan_id": 1, "ip": "a", "port": 20000 + n, "proto": "tcp", "state": "open", "svc": "https"} for n in range(3000)], PORT)
+    (rank,) = risk.weight_ranks(ports).collect()
+    assert (rank.first_rank, rank.last_rank) == (1, 3000)
+    assert rank.contribution == pytest.approx(rank.score_weight * sum(1 / math.log2(k + 1) for k in range(1, 3001)), abs=1e-5)
