@@ -91,7 +91,7 @@ def test_perplexity_bands_reject_odd_texts_on_both_sides(spark):
     out = {r.doc_id: r for r in perplexity.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spread=6.0).collect()}
     assert all(out[i].kept for i in range(120)) and out[203].kept
     assert not out[201].base_failed and not out[201].kept and out[202].base_failed and not out[202].kept
-    assert out[201].log_perplexity > out[201].upper
+    assert out[201].log_perplexity < out[201].lower and out[200].log_perplexity > out[200].upper
 
 
 CALLS = "conv_id long, position long, call_id string, tool string, arguments string, needs array<string>"
