@@ -254,22 +254,43 @@ def partial_matches(docs: DataFrame, classes: DataFrame, later: bool) -> DataFra
 
 
 def repeated(docs: DataFrame, keep: str) -> DataFrame:
-    """Byte ranges to remove (they may overlap): doc_id, crc, lo, hi. ``docs`` as ``keyed`` gives it."""
+    """Byte ranges to remove (they may overlap): doc_id, crc, lo, hi, exempt. ``docs`` as ``keyed`` gives it.
+
+    Where all contexts of an anchor are alike, which holds inside of copies, the sums of the anchor say all about them and
+    their rows need no further join; the first of them is returned once more as ``exempt`` if it is to be kept."""
     found = stored(anchors(docs), "anchors")
-    again = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    found = stored(found.join(again, "gram"), "repeated")
-    place = F.struct("doc_id", "crc", "start")
-    classes = found.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(place).alias("place"))
-    classes = stored(classes.select(*KEY, "n", "place.*"), "classes")
-    parts = partial_matches(docs, classes, later=keep == "none")
+    one = lambda c: F.min(c) == F.max(c)
+    again = found.groupBy("gram").agg(F.count("*").alias("n"), (one("context") & one("lead") & one("reach")).alias("alike"))
+    found = stored(found.join(again.where("n > 1").drop("n"), "gram"), "repeated")
+    classes = found.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("alike").alias("alike"), F.min(F.struct("doc_id", "crc", "start")).alias("place"))
+    classes = stored(classes.select(*KEY, "n", "alike", "place.*"), "classes")
+    parts = partial_matches(docs, classes.drop("alike"), later=keep == "none")
+    row = lambda df, exempt=False: df.select("doc_id", "crc", "start", F.lit(0).cast("long").alias("first"), F.col("reach").cast("long").alias("last"), F.lit(exempt).alias("exempt"))
+    part = lambda df: df.select("doc_id", "crc", "start", "first", "last", F.lit(False).alias("exempt"))
+    alike, differing = found.where("alike"), found.where("not alike")
+    several = classes.where("n > 1 and not alike")
     if keep == "none":
-        whole = classes.where("n > 1").select(*KEY, F.lit(0).cast("long").alias("first"), F.col("reach").cast("long").alias("last"))
-        ranges = found.join(parts.union(whole), KEY).select("doc_id", "crc", "start", "first", "last")
+        whole = several.select(*KEY, F.lit(0).cast("long").alias("first"), F.col("reach").cast("long").alias("last"))
+        ranges = part(differing.join(parts.union(whole), KEY)).union(row(alike))
     else:
-        several = classes.where("n > 1").select(*KEY, F.struct("doc_id", "crc", "start").alias("place"))
-        later = found.join(several, KEY).where(~place.eqNullSafe(F.col("place"))).select("doc_id", "crc", "start", F.lit(0).cast("long").alias("first"), F.col("reach").cast("long").alias("last"))
-        ranges = parts.join(classes, KEY).select("doc_id", "crc", "start", "first", "last").union(later)
-    return ranges.select("doc_id", "crc", (F.col("start") + F.col("first")).alias("lo"), (F.col("start") + F.col("last") + LENGTH).alias("hi"))
+        place = F.struct("doc_id", "crc", "start")
+        later = differing.join(several.select(*KEY, place.alias("place")), KEY).where(~place.eqNullSafe(F.col("place")))
+        ranges = part(parts.join(classes, KEY)).union(row(later)).union(row(alike)).union(row(classes.where("alike"), exempt=True))
+    return ranges.select("doc_id", "crc", (F.col("start") + F.col("first")).alias("lo"), (F.col("start") + F.col("last") + LENGTH).alias("hi"), "exempt")
+
+
+def text_ranges(ranges: DataFrame) -> DataFrame:
+    """doc_id, crc and ``ranges``, all of a text."""
+    return ranges.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("lo", "hi", "exempt")).alias("ranges"))
+
+
+def removed(found) -> tuple[np.ndarray, np.ndarray]:
+    """What goes of a text, from the structs of ``text_ranges`` or None. A range is known by where it begins."""
+    if found is None or not len(found):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lo, hi, exempt = (found.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi", "exempt"))
+    goes = ~np.isin(lo, lo[exempt])
+    return merged(lo[goes], hi[goes])
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +307,7 @@ def deduplicate(docs: DataFrame, keep: str = "first", id_col: str = "doc_id", te
     """Per document row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and with ``with_kept`` the
     bytes left (``kept``, binary) and a checksum of the input (``crc``)."""
     base = keyed(docs, id_col, text_col)
-    ranges = repeated(base, keep).groupBy("doc_id", "crc").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))  # within a text
+    ranges = text_ranges(repeated(base, keep))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "crc"] * with_kept
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,8 +315,8 @@ def deduplicate(docs: DataFrame, keep: str = "first", id_col: str = "doc_id", te
             rows = []
             ranges = batch.column("ranges")
             for i, raw in enumerate(batch.column("text")):
-                raw, found = memoryview(raw.as_buffer()), ranges[i].values
-                lo, hi = merged(*(np.asarray(found.field(k)) for k in ("lo", "hi"))) if found is not None and len(found) else (np.zeros(0, np.int64),) * 2
+                raw = memoryview(raw.as_buffer())
+                lo, hi = removed(ranges[i].values)
                 digest, left, at_ = hashlib.sha256(), [], 0
                 for s, e in [*zip(lo.tolist(), hi.tolist()), (len(raw), len(raw))]:
                     left.append(raw[at_:s])
@@ -316,7 +337,7 @@ def without_repeats(docs: DataFrame, keep: str = "first", id_col: str = "doc_id"
     of characters). A character goes only if all its bytes do. A row of whose text nothing but white space is left by the
     cuts is dropped; a text without cuts, null included, stays as it is."""
     base = keyed(docs, id_col, text_col)
-    ranges = repeated(base, keep).groupBy("doc_id", "crc").agg(F.collect_set(F.struct("lo", "hi")).alias("_ranges")).select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), "_ranges")
+    ranges = text_ranges(repeated(base, keep)).select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), F.col("ranges").alias("_ranges"))
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     joined = docs.withColumn("_own_crc", crc).join(ranges, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_crc") == F.col("_crc")), "left")
 
@@ -325,11 +346,10 @@ def without_repeats(docs: DataFrame, keep: str = "first", id_col: str = "doc_id"
             texts, ranges = batch.column(text_col).to_pylist(), batch.column("_ranges")
             stay = np.ones(len(texts), bool)
             for i, text in enumerate(texts):
-                found = ranges[i].values
-                if text is None or found is None or not len(found):
+                lo, hi = removed(ranges[i].values)
+                if text is None or not len(lo):
                     continue
                 raw, left, at_ = text.encode(), [], 0
-                lo, hi = merged(*(np.asarray(found.field(k)) for k in ("lo", "hi")))
                 for s, e in zip(lo.tolist(), hi.tolist()):
                     while s < e and raw[s] & 0xC0 == 0x80:
                         s += 1
