@@ -94,6 +94,40 @@ def test_perplexity_bands_reject_odd_texts_on_both_sides(spark):
     assert out[201].log_perplexity < out[201].lower and out[200].log_perplexity > out[200].upper
 
 
+def test_perplexity_rejects_real_words_in_meaningless_order(spark):
+    rng = np.random.default_rng(5)
+    names = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(200)]
+
+    def prose():
+        at, out = int(rng.integers(200)), []
+        for _ in range(150):
+            out.append(names[at])
+            at = (at * 7 + int(rng.integers(3))) % 200  # one of three words follows each
+        return out
+
+    rows = [(i, " ".join(prose()), "en") for i in range(150)] + [(1000 + i, " ".join(rng.permutation(prose())), "en") for i in range(8)]
+    rows += [(3000, " ".join(prose()), None), (3001, "", "en")]
+    out = {r.doc_id: r for r in perplexity.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spread=6.0).collect()}
+    assert len(out) == len(rows)
+    assert [i for i in [*range(150), 3000] if not out[i].kept] == []
+    for i in range(1000, 1008):
+        assert not out[i].base_failed and not out[i].kept and out[i].order_log_perplexity > out[i].order_upper
+
+
+def test_word_trigrams_grow_with_the_input_and_sum_to_one(spark):
+    from pyspark.sql import functions as F
+
+    from exposure.llm import word_order
+
+    docs = spark.range(4000).select(F.col("id").alias("key"), F.concat_ws(" ", *(F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(j)), F.lit(500))) for j in range(6))).alias("text"))
+    some, more = (word_order.counts(docs.where(f"key < {n}")).cache() for n in (400, 4000))
+    assert more.count() > 9 * some.count()
+    p = word_order.probabilities(some)
+    seen = p.join(some, "gram").groupBy("context").agg(*(F.sum(f"p{h}").alias(f"p{h}") for h in (0, 1)))
+    assert p.count() == some.count() and not p.where("not (p0 > 0 and p0 <= 1 and p1 > 0 and p1 <= 1)").count()
+    assert not seen.where("p0 > 1.0001 or p1 > 1.0001").count()
+
+
 CALLS = "conv_id long, position long, call_id string, tool string, arguments string, needs array<string>"
 
 
