@@ -73,8 +73,8 @@ def minhashes(shingles: np.ndarray, factors: np.ndarray, summands: np.ndarray) -
     return out
 
 
-def sketches(docs: DataFrame, k: int, h: int, m: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document row: doc_id, n_shingles, the set's 128-bit key (k1, k2), and its minhashes."""
+def sketches(docs: DataFrame, k: int, h: int, m: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document row: doc_id, n_shingles, the set's 128-bit key (k1, k2), its minhashes, and the columns ``carry``."""
     factors, summands = permutations(2 * m * h)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,9 +86,10 @@ def sketches(docs: DataFrame, k: int, h: int, m: int, id_col: str, text_col: str
                 keys.append((int(s.sum(dtype=np.uint64)), int(mixed.sum(dtype=np.uint64))))
                 rows.append(minhashes(s, factors, summands).tobytes())
             k1, k2 = np.array(keys, np.uint64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1.astype(np.int64)), pa.array(k2.astype(np.int64)), pa.array(rows, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1.astype(np.int64)), pa.array(k2.astype(np.int64)), pa.array(rows, pa.binary()), *batch.columns[2:]], ["doc_id", "n_shingles", "k1", "k2", "sketch", *carry])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(sketch, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
+    carried = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), *carry).mapInArrow(sketch, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary" + carried)
 
 
 def table_keys(nodes: DataFrame, h: int, m: int) -> DataFrame:
@@ -218,9 +219,10 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int, id_col: str
     return spread.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, h: int = 3, m: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id (smallest doc_id of its group) and kept (doc_id is that)."""
-    rows = stored(sketches(docs, k, h, m, id_col, text_col), "sketches")
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, h: int = 3, m: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id (smallest doc_id of its group), the columns ``carry`` and kept
+    (doc_id is component_id)."""
+    rows = stored(sketches(docs, k, h, m, id_col, text_col, carry), "sketches")
     classes = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     roots = families(nodes, h, m).withColumnRenamed("root", "family")
@@ -232,6 +234,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, h: int = 3,
     ids = of.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = of.join(ids, "root").select("k1", "k2", "component_id")
     filled = rows.where("n_shingles > 0").drop("sketch").join(named, ["k1", "k2"])
-    empty = rows.where("n_shingles = 0").select("k1", "k2", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = filled.select("doc_id", "n_shingles", "component_id").union(empty.select("doc_id", "n_shingles", "component_id"))
+    empty = rows.where("n_shingles = 0").select("k1", "k2", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *carry)
+    out = filled.select("doc_id", "n_shingles", "component_id", *carry).union(empty.select("doc_id", "n_shingles", "component_id", *carry))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

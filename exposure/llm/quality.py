@@ -29,17 +29,21 @@ from exposure.llm.shared import stored
 BINS = 400
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``x``, the figures of the text."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``x``, the figures of the text, and the columns ``carry``."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics.figures(at.text_column(batch.column(1)))
             flat = pa.array(x.ravel())
             edges = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(edges, flat)], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(edges, flat), *batch.columns[2:]], ["doc_id", "x", *carry])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(measure, "doc_id long, x array<double>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), *carry).mapInArrow(measure, "doc_id long, x array<double>" + _types(docs, carry))
+
+
+def _types(docs: DataFrame, columns: tuple[str, ...]) -> str:
+    return "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def matrix(column) -> np.ndarray:
@@ -135,16 +139,16 @@ def bins(raw: np.ndarray) -> np.ndarray:
     return np.clip(((raw + 0.5) / 2 * BINS).astype(np.int64), 0, BINS - 1)
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "quality", features: int = 256, width: float = 4.0, ridge: float = 1e-3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, held_out, score (0 to 1) and predicted (1 from a score of 0.5 on)."""
-    x = stored(measured(docs, id_col, text_col), "figures")
+def score(docs: DataFrame, labels: DataFrame, label: str = "quality", features: int = 256, width: float = 4.0, ridge: float = 1e-3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document row: doc_id, held_out, score (0 to 1), predicted (1 from a score of 0.5 on) and the columns ``carry``."""
+    x = stored(measured(docs, id_col, text_col, carry), "figures")
     fourier, weights, values = fit(x, labels, label, features, width, ridge)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = matrix(batch.column("x"))
             out = np.full(len(m), values[0]) if weights is None else values[bins(fourier(m) @ weights)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), *(batch.column(c) for c in carry)], ["doc_id", "score", *carry])
 
-    scored = x.mapInArrow(rate, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = x.mapInArrow(rate, "doc_id long, score double" + _types(docs, carry))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *carry)

@@ -220,6 +220,28 @@ def test_pipeline_stages_against_plain_versions(spark):
     assert max(fills.values()) <= 2048
 
 
+@pytest.mark.parametrize("shared", [70_007, None])
+def test_pipeline_judges_each_row_of_a_shared_id(spark, docs_of, shared):
+    sf = "/root/testdata/sf0.001"
+    quality_, near, _, clean, _ = (f for _, f in corpus_pipeline.STAGES)
+    item = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(r.text.split()) >= 12)
+    words = [f"word{i}" for i in range(80)]
+    one, two, other = " ".join(words), " ".join([*words[:-1], "changed"]), " ".join(f"term{i}" for i in range(60))
+    texts = lambda df: sorted((r.text or "") for r in df.collect())
+    found = texts(near(spark, docs_of([(shared, one), (shared, two), (shared, other), (shared, other), (shared, None), (shared, "")]), sf))
+    assert len(found) == 4 and other in found and (one in found) != (two in found)
+    smallest = near(spark, docs_of([(shared, one), (3, two), (shared, other)]), sf).collect()
+    assert sorted(r.text for r in smallest) == sorted([two, other])
+    assert texts(clean(spark, docs_of([(shared, f"see {item} here"), (shared, other)]), sf)) == [other]
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    scores = {r.doc_id: r.score for r in QUERIES["op9_fourier_ridge"](spark, sf).collect()}
+    good, bad = (pick(docs.collect(), key=lambda r: scores[r.doc_id]) for pick in (max, min))
+    both = docs.unionByName(spark.createDataFrame([(shared, good.text), (shared, bad.text)], "doc_id long, text string"), allowMissingColumns=True)
+    left = [r.text for r in quality_(spark, both, sf).collect() if r.doc_id == shared]
+    assert good.text in left and bad.text not in left
+
+
 def test_pipeline_takes_odd_rows(spark, docs_of):
     docs = docs_of([(1, None), (1, None), (None, ""), (2, "x " * 400), (3, "x " * 400), (4, "some plain words. " * 30)])
     for _, stage in corpus_pipeline.STAGES[:-1]:
