@@ -16,6 +16,8 @@ NAMES = (
     "distinct_words", "repeated_triples", "repeated_lines", "capital_words", "bare_words", "marked_words", "shouted_words", "entropy", "space",
 )
 
+ROWS = 16_384  # texts of a slice at most: their bytes are counted in a table of 256 numbers a text
+
 _UPPER, _DIGIT, _LETTER, _MARK, _SYMBOL, _END = (np.zeros(256, bool) for _ in range(6))
 _UPPER[65:91] = True
 _DIGIT[48:58] = True
@@ -29,8 +31,9 @@ def figures(texts: pa.Array) -> np.ndarray:
     """One row of ``NAMES`` per text."""
     out = np.zeros((len(texts), len(NAMES)))
     for a, b in at.slices(texts, 2 << 20):
-        buf, offsets = at.buffer_of(texts.slice(a, b - a))
-        out[a:b] = _slice(buf, offsets)
+        for c in range(a, b, ROWS):
+            d = min(c + ROWS, b)
+            out[c:d] = _slice(*at.buffer_of(texts.slice(c, d - c)))
     return out
 
 
@@ -82,7 +85,7 @@ def _slice(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     lines = np.bincount(line_owner, minlength=n)
 
     byte = np.repeat(np.arange(n), size)
-    counts = np.bincount(byte * 256 + buf[offsets[0] : offsets[-1]], minlength=n * 256).reshape(n, 256) if n * 256 < 1 << 24 else np.zeros((n, 256))
+    counts = np.bincount(byte * 256 + buf[offsets[0] : offsets[-1]], minlength=n * 256).reshape(n, 256)
     share = _ratio(counts, size[:, None])
     entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
 

@@ -62,6 +62,16 @@ def test_figures_ignore_other_texts_of_the_batch():
     assert not together[1].any() and not together[5].any()
 
 
+def test_figures_do_not_depend_on_the_number_of_short_texts():
+    import pyarrow as pa
+
+    from exposure.llm import arrow_text as at
+
+    many = statistics.figures(at.text_column(pa.array(["ab cd", "zz"] * 35_000)))
+    alone = statistics.figures(at.text_column(pa.array(["ab cd", "zz"])))
+    assert alone[0, statistics.NAMES.index("entropy")] > 2 and np.allclose(many, np.tile(alone, (35_000, 1)))
+
+
 def test_isotonic_regression():
     good, total = np.array([0, 5, 1, 0, 8, 10.0]), np.array([10, 10, 10, 0, 10, 10.0])
     out = quality.pooled(good, total)
