@@ -41,3 +41,28 @@ kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * from_ + 1 AS BIGINT), CAST
 SELECT t.doc_id, CAST(length(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_removed, coalesce(kept.spans, 0) AS n_spans,
   sha256(unhex(CASE WHEN kept.n IS NULL THEN t.h ELSE concat(kept.head, substr(t.h, CAST(2 * kept.hi + 1 AS BIGINT))) END)) AS kept_sha256
 FROM t LEFT JOIN kept USING (doc_id)"""
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen(CAST({0} AS VARCHAR)), ':', CAST({0} AS VARCHAR)) END"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + "))"
+#: crc32 of an id as text, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+_UP = "list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(concat(nodes[2 * i + 1], coalesce(nodes[2 * i + 2], ''))))"
+
+MANIFEST = f"""
+WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS id
+  FROM (SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_LEAF.format(n="(n_chars + 1)")} END AS bent FROM documents) x),
+up(lang, level, nodes) AS (SELECT lang, 0, list(leaf ORDER BY pos) FROM l GROUP BY lang UNION ALL SELECT lang, level + 1, {_UP} FROM up WHERE len(nodes) > 1),
+subs AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM up WHERE len(nodes) = 1),
+over_(level, nodes) AS (SELECT 0, list(subroot ORDER BY pos) FROM subs UNION ALL SELECT level + 1, {_UP} FROM over_ WHERE len(nodes) > 1),
+root AS (SELECT nodes[1] AS root FROM over_ WHERE len(nodes) = 1),
+steps AS (SELECT id, level, l.pos // (1 << level) AS p, nodes FROM l JOIN up ON up.lang IS NOT DISTINCT FROM l.lang AND len(nodes) > 1
+  UNION ALL SELECT id, 100 + level, subs.pos // (1 << level), nodes FROM l JOIN subs ON subs.lang IS NOT DISTINCT FROM l.lang JOIN over_ ON len(nodes) > 1),
+met AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY level) AS k, p % 2 = 1 AS right_, coalesce(CASE WHEN p % 2 = 1 THEN nodes[CAST(p AS BIGINT)] ELSE nodes[CAST(p AS BIGINT) + 2] END, '') AS other FROM steps),
+folds(id, k, node) AS (SELECT id, 0, coalesce(bent, leaf) FROM l UNION ALL
+  SELECT met.id, met.k, sha256(CASE WHEN right_ THEN concat(other, node) ELSE concat(node, other) END) FROM folds JOIN met ON met.id = folds.id AND met.k = folds.k + 1),
+ends AS (SELECT id, arg_max(node, k) AS folded_root FROM folds GROUP BY id),
+proofs AS (SELECT id, string_agg(other, '' ORDER BY k) AS s FROM met GROUP BY id)
+SELECT l.doc_id, l.leaf, subs.subroot, root.root, sha256(coalesce(proofs.s, '')) AS proof_sha256, ends.folded_root, ends.folded_root = root.root AS verified
+FROM l JOIN subs ON subs.lang IS NOT DISTINCT FROM l.lang JOIN ends USING (id) LEFT JOIN proofs USING (id), root"""

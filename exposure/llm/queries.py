@@ -8,11 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import dac, decontamination, minhash, oracles, packing, perplexity, prefix_counts, quality, suffixes, tool_calls, toxicity
+from exposure.llm import dac, decontamination, merkle, minhash, oracles, packing, perplexity, prefix_counts, quality, suffixes, tool_calls, toxicity
 from exposure.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op2_positional_index": oracles.CONTAMINATION, "op4_previous_factors": oracles.REPEATS, "op8_tensored_minhash": oracles.NEAR_GROUPS}
+ORACLES: dict[str, str] = {
+    "op2_positional_index": oracles.CONTAMINATION, "op4_previous_factors": oracles.REPEATS, "op8_tensored_minhash": oracles.NEAR_GROUPS,
+    "op11_merkle_manifest": oracles.MANIFEST,
+}
 
 
 def query(f):
@@ -87,3 +90,8 @@ def op9_fourier_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.counted(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))

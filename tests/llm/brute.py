@@ -81,3 +81,44 @@ def contamination(docs, items, window=10):
         ids = sorted(str(x) for x in ids if x is not None)
         out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()))
     return out
+
+
+def _h(parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def manifest(rows, fanout=2):
+    """[(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified)] sorted as text; rows: dicts of the five fields."""
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: _h(field(r[k]) for k in names)
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([_h(out[-1][i : i + fanout]) for i in range(0, len(out[-1]), fanout)])
+        return out
+
+    def path(tree, i):
+        out = []
+        for level in tree[:-1]:
+            run = i // fanout * fanout
+            out.append((level[run:i], level[i + 1 : run + fanout]))
+            i //= fanout
+        return out
+
+    langs = sorted({r["lang"] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    groups = {g: sorted((r for r in rows if r["lang"] == g), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, leaf(r))) for g in langs}
+    trees = {g: levels([leaf(r) for r in groups[g]]) for g in langs}
+    top = levels([trees[g][-1][0] for g in langs]) if langs else []
+    out = []
+    for k, g in enumerate(langs):
+        for i, r in enumerate(groups[g]):
+            steps = path(trees[g], i) + path(top, k)
+            bent = r["doc_id"] is not None and crc32(str(r["doc_id"]).encode()) % 7 == 0 and r["n_chars"] is not None
+            node = leaf(r | {"n_chars": r["n_chars"] + 1}) if bent else leaf(r)
+            for a, b in steps:
+                node = _h([*a, node, *b])
+            root = top[-1][0]
+            out.append((r["doc_id"], leaf(r), trees[g][-1][0], root, _h(x for a, b in steps for x in a + b), node, node == root))
+    return sorted(out, key=str)
