@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import dac, decontamination, merkle, minhash, oracles, packing, perplexity, prefix_counts, quality, suffixes, tool_calls, toxicity
+from exposure.llm import dac, decontamination, merkle, minhash, oracles, packing, perplexity, prefix_counts, quality, sentence_pieces, suffixes, tool_calls, toxicity
 from exposure.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,10 @@ def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), decoded=True)
+    digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    return found.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), *digests)
