@@ -66,3 +66,14 @@ ends AS (SELECT id, arg_max(node, k) AS folded_root FROM folds GROUP BY id),
 proofs AS (SELECT id, string_agg(other, '' ORDER BY k) AS s FROM met GROUP BY id)
 SELECT l.doc_id, l.leaf, subs.subroot, root.root, sha256(coalesce(proofs.s, '')) AS proof_sha256, ends.folded_root, ends.folded_root = root.root AS verified
 FROM l JOIN subs ON subs.lang IS NOT DISTINCT FROM l.lang JOIN ends USING (id) LEFT JOIN proofs USING (id), root"""
+
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, row_number() OVER () AS row_,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.row_ AS a, a.vec_id AS anchor_id, b.row_ AS b, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.row_ <> b.row_ AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id, s.b) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""

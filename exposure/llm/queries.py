@@ -8,13 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import dac, decontamination, merkle, minhash, oracles, packing, perplexity, prefix_counts, quality, sentence_pieces, suffixes, tool_calls, toxicity
+from exposure.llm import dac, decontamination, hard_negatives, merkle, minhash, oracles, packing, perplexity, prefix_counts, quality, sentence_pieces, suffixes, tool_calls, toxicity
 from exposure.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op2_positional_index": oracles.CONTAMINATION, "op4_previous_factors": oracles.REPEATS, "op8_tensored_minhash": oracles.NEAR_GROUPS,
-    "op11_merkle_manifest": oracles.MANIFEST,
+    "op11_merkle_manifest": oracles.MANIFEST, "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }
 
 
@@ -102,3 +102,9 @@ def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sentence_pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), decoded=True)
     digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     return found.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), *digests)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = lambda vec_id, label: F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchor=lambda vec_id: vec_id % 100 == 0, label=shifted)
