@@ -7,9 +7,9 @@ tiles, and a tile is sliced by the third and further components into leaves. Ran
 vectors, however many, part like any others. Every leaf and every run of ``FANOUT`` nodes above has a minimum bounding box, which
 with an anchor gives an interval for each coordinate's product, and by their sums one for the scores in the box.
 
-**Search.** A task reads its tiles one after another and searches each with all anchors of a block: a queue takes the box that may hold the
-best score; boxes are dropped whose interval lies outside the score window, whose labels are of no use, or whose best score is
-strictly below the kth found so far (with an equal score: whose smallest vec_id is above the kth's). What is found in one tile prunes
+**Search.** A task reads its tiles one after another and searches each with all anchors of a block, from the top: boxes are dropped whose
+interval lies outside the score window, whose labels are of no use, or whose best score is strictly below the kth found so far
+(with an equal score: whose smallest vec_id is above the kth's). The leaves left wait in a queue, the one that may hold the best score first. What is found in one tile prunes
 the next. A task returns at most k rows for each anchor and window, which are merged by one sort.
 
 Anchors are searched in blocks of at most ``block`` rows, which is what bounds the broadcast; each block reads the stored tiles
@@ -25,7 +25,6 @@ extra columns are not read.
 from __future__ import annotations
 
 import functools
-import heapq
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -34,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from exposure.llm import arrow_text as at
 from exposure.llm.ranks import numbered
 from exposure.llm.shared import stored
 
-FANOUT, LEAF, TILE = 16, 32, 8192
+FANOUT, LEAF, TILE = 16, 128, 8192
+SOME = 1024  # anchors whose bounds are held at once
 LONG = 2**63 - 1
 
 
@@ -56,13 +57,13 @@ def quantised(rows: DataFrame, scale: float, id_col: str, vector_col: str, label
 
 def packed(rows: DataFrame) -> DataFrame:
     """The rows in slabs by the first component, each sorted by the second: a stored table. Equal vectors are parted by their row."""
-    at = lambda k: F.get("q", F.lit(k))
+    component = lambda k: F.get("q", F.lit(k))
     slabs = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(rows.repartitionByRange(slabs, "dim", at(0), "row").sortWithinPartitions("dim", at(1), "row"), "slabs")
+    return stored(rows.repartitionByRange(slabs, "dim", component(0), "row").sortWithinPartitions("dim", component(1), "row"), "slabs")
 
 
 class Node(NamedTuple):
-    """A run of boxes of one level: bounds of each, and what each holds."""
+    """The boxes of one level: bounds of each, and what each holds."""
 
     low: np.ndarray
     high: np.ndarray
@@ -90,21 +91,30 @@ def _sliced(q: np.ndarray, leaf: int, first: int) -> np.ndarray:
 
 
 class Tree:
-    """An R-tree of one tile, packed from below."""
+    """An R-tree of one tile, packed from below. ``place`` is a row's place by vec_id, label and row, for ties."""
 
     def __init__(self, row: np.ndarray, vec_id: np.ndarray, null: np.ndarray, label: np.ndarray, q: np.ndarray):
         order = _sliced(q, LEAF, 2)
         self.row, self.vec_id, self.null, self.label, self.q = row[order], vec_id[order], null[order], label[order], q[order]
+        self.place = np.empty(len(order), np.int64)
+        self.place[np.lexsort((self.row, self.label, self.null, self.vec_id))] = np.arange(len(order))
         self.levels: list[Node] = []
         low, high, a, b, c = self.q, self.q, self.label, self.label, self.vec_id
         size = LEAF
         while not self.levels or len(low) > 1:
             starts = np.arange(0, len(low), size)
+            ends = np.append(starts[1:], len(low))
             low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
-            a, b, c, ends = np.minimum.reduceat(a, starts), np.maximum.reduceat(b, starts), np.minimum.reduceat(c, starts), np.append(starts[1:], len(a))
+            a, b, c = np.minimum.reduceat(a, starts), np.maximum.reduceat(b, starts), np.minimum.reduceat(c, starts)
             self.levels.append(Node(low, high, a, b, c, starts, ends))
             size = FANOUT
 
+    def bounds(self, vectors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each level the least and the greatest score that each vector can have in each box: the sums, over the coordinates, of
+        the ends of the interval between its component times one bound of the box and times the other."""
+        up, down = np.maximum(vectors, 0), np.minimum(vectors, 0)
+        return [(up @ n.low.T + down @ n.high.T, up @ n.high.T + down @ n.low.T) for n in self.levels]
+
 
 class Search(NamedTuple):
     """What is looked for with one anchor: rows of its label or of the others, with scores from ``low`` to ``high`` (none: any)."""
@@ -123,59 +133,55 @@ class Best:
     def __init__(self, k: int):
         self.k, self.rows = k, []
 
-    def hopeless(self, score, vec_id) -> bool:
-        """Whether rows of at most this score and at least this id come after the kth."""
-        return len(self.rows) == self.k and (-score, vec_id) > self.rows[-1][:2]
+    def last(self) -> tuple[int, int]:
+        """Score and vec_id of the kth row; what comes after it is of no use."""
+        return (-self.rows[-1][0], self.rows[-1][1]) if len(self.rows) == self.k else (-LONG - 1, LONG)
 
     def add(self, rows: Iterator[tuple]) -> None:
         self.rows = sorted([*self.rows, *rows])[: self.k]
 
 
-def search(tree: Tree, vector: np.ndarray, wanted: list[Search], best: list[Best]) -> None:
-    """Adds what the tile has for the searches of one anchor."""
-    up, down = np.maximum(vector, 0), np.minimum(vector, 0)
-    queue: list[tuple] = []
-
-    def use(level: int, box: int, low, high) -> list[int]:
-        """The searches for which a box may hold something."""
-        node, out = tree.levels[level], []
-        least, most, first = node.least_label[box], node.most_label[box], node.least_id[box]
-        for i, s in enumerate(wanted):
-            if (s.low is not None and (high < s.low or low > s.high)) or (s.same and not least <= s.label <= most) or (not s.same and least == most == s.label):
-                continue
-            if not best[i].hopeless(high if s.high is None else min(high, s.high), first):
-                out.append(i)
-        return out
-
-    def push(level: int, begin: int, end: int) -> None:
-        node = tree.levels[level]
-        low, high = node.low[begin:end], node.high[begin:end]
-        # each coordinate's product lies between the anchor's component times one bound and times the other
-        for k, (a, b) in enumerate(zip((low @ up + high @ down).tolist(), (high @ up + low @ down).tolist())):
-            if use(level, begin + k, a, b):
-                heapq.heappush(queue, (-b, level, begin + k, a))
-
-    push(len(tree.levels) - 1, 0, len(tree.levels[-1].low))
-    while queue:
-        high, level, box, low = heapq.heappop(queue)
-        if not (open_ := use(level, box, low, -high)):
-            continue
-        begin, end = int(tree.levels[level].begin[box]), int(tree.levels[level].end[box])
-        if level:
-            push(level - 1, begin, end)
-            continue
-        scores, labels, rows = tree.q[begin:end] @ vector, tree.label[begin:end], tree.row[begin:end]
-        for i in open_:
-            s = wanted[i]
-            fit = (labels == s.label) & (rows != s.row) if s.same else labels != s.label
-            if s.low is not None:
-                fit &= (scores >= s.low) & (scores <= s.high)
-            if len(best[i].rows) == best[i].k:
-                fit &= scores >= -best[i].rows[-1][0]
-            at = np.flatnonzero(fit)
-            if len(at):
-                ids, null = tree.vec_id[begin:end][at].tolist(), tree.null[begin:end][at].tolist()
-                best[i].add(zip((-scores[at]).astype(np.int64).tolist(), ids, zip(null, labels[at].tolist(), rows[at].tolist())))
+def search(tree: Tree, vector: np.ndarray, bounds: list[tuple[np.ndarray, np.ndarray]], wanted: list[Search], best: list[Best]) -> None:
+    """Adds what the tile has for the searches of one anchor, which are all for its own label or all for others. ``bounds`` are those of the
+    anchor. The queue of leaves is taken from its head in growing runs; what is left is judged again after each."""
+    same, label, own = wanted[0].same, wanted[0].label, wanted[0].row
+    lows = np.array([-LONG if s.low is None else s.low for s in wanted])
+    highs = np.array([LONG if s.high is None else s.high for s in wanted])
+
+    def useful(level: int, boxes: np.ndarray) -> np.ndarray:
+        """The boxes that may hold something for one of the searches."""
+        node, (low, high) = tree.levels[level], (x[boxes, None] for x in bounds[level])
+        kth = [b.last() for b in best]
+        score, vec_id = np.array([k[0] for k in kth]), np.array([k[1] for k in kth])
+        most = np.minimum(high, highs)
+        may = (high >= lows) & (low <= highs) & ((most > score) | ((most == score) & (node.least_id[boxes, None] <= vec_id)))
+        least_label, most_label = node.least_label[boxes], node.most_label[boxes]
+        return boxes[may.any(axis=1) & ((least_label <= label) & (label <= most_label) if same else (least_label < label) | (label < most_label))]
+
+    boxes = np.arange(len(tree.levels[-1].low))
+    for level in range(len(tree.levels) - 1, 0, -1):
+        boxes, node = useful(level, boxes), tree.levels[level]
+        boxes = at.ragged_index(node.begin[boxes], node.end[boxes] - node.begin[boxes])
+    boxes, width = useful(0, boxes), 2
+    queue = boxes[np.argsort(-bounds[0][1][boxes], kind="stable")]
+    while len(queue):
+        leaves = tree.levels[0]
+        now, queue, width = queue[:width], queue[width:], width * 2
+        begin, end = leaves.begin[now], leaves.end[now]
+        rows = at.ragged_index(begin, end - begin)
+        score = np.concatenate([tree.q[a:b] @ vector for a, b in zip(begin.tolist(), end.tolist())])
+        fit = (score >= min(max(s, b.last()[0]) for s, b in zip(lows.tolist(), best))) & (score <= highs.max())
+        rows, score = rows[fit], score[fit]
+        fit = (tree.label[rows] == label) & (tree.row[rows] != own) if same else tree.label[rows] != label
+        rows, score = rows[fit], -score[fit].astype(np.int64)
+        order = np.lexsort((tree.place[rows], score))
+        rows, score = rows[order], score[order]
+        for low, high, own_best in zip(lows.tolist(), highs.tolist(), best):
+            a = int(np.searchsorted(score, -high))
+            new = rows[a : a + own_best.k][score[a : a + own_best.k] <= -low]
+            if len(new):
+                own_best.add(zip(score[a:].tolist(), tree.vec_id[new].tolist(), zip(tree.null[new].tolist(), tree.label[new].tolist(), tree.row[new].tolist())))
+        queue = useful(0, queue)
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -183,9 +189,10 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _tree(table: pa.Table, dim: int, largest: int) -> tuple[Tree, type]:
-    """The tree of a tile, and the numbers to search it with: floating ones where sums of products stay below 2**53."""
+    """The tree of a tile, and the numbers to search it with: floating ones where they hold all sums of products exactly."""
     q = _vectors(table["q"].combine_chunks(), dim)
-    kind = np.float64 if max(dim, 1) * max(largest, 1) * max(int(np.abs(q).max(initial=0)), 1) < 2**53 else np.int64
+    most = max(dim, 1) * max(largest, 1) * max(int(np.abs(q).max(initial=0)), 1)
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
     ids = table["vec_id"].combine_chunks()
     own = lambda n: np.asarray(table[n].combine_chunks(), np.int64)
     return Tree(own("row"), np.asarray(ids.fill_null(LONG), np.int64), np.asarray(ids.is_null()), own("label"), q.astype(kind)), kind
@@ -228,8 +235,11 @@ def found(slabs: DataFrame, anchors: DataFrame, same: bool, k: int) -> DataFrame
             dim = table["dim"][0].as_py()
             if dim in asked:
                 tree, kind = _tree(table, dim, largest[dim])
-                for vector, searches in asked[dim]:
-                    search(tree, vector.astype(kind), searches, [best[s.key] for s in searches])
+                vectors = np.array([v for v, _ in asked[dim]]).reshape(len(asked[dim]), dim).astype(kind)
+                for a in range(0, len(vectors), SOME):
+                    bounds = tree.bounds(vectors[a : a + SOME])
+                    for n, (_, searches) in enumerate(asked[dim][a : a + SOME]):
+                        search(tree, vectors[a + n], [(low[n], high[n]) for low, high in bounds], searches, [best[s.key] for s in searches])
         rows = [(key, -score, None if null else vec_id, label, row) for key, own in best.items() for score, vec_id, (null, label, row) in own.rows]
         columns = zip(*rows) if rows else [[]] * len(FOUND)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], FOUND)
