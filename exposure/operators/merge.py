@@ -6,88 +6,115 @@ first", "replace by the first with a product", "higher accuracy wins") is
 order-insensitive once stated over ``load_ord``, so any number of scans merge in one
 pass of grouped minimums and maximums, which pre-aggregate before the shuffle.
 
+The ``fold_`` functions keep what later folds need: folding what was folded before together with new observations gives
+what folding all observations would. The import keeps its inventory in that form.
+
 ``profile`` selects between the two front ends' rules.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from exposure import dims
 
 MERGED = 0
 
 
-def _order(df: DataFrame) -> Column:
+PLACES = ["load_ord", "host_ord", "port_ord", "finding_ord"]
+
+
+def _places(df: DataFrame) -> list[str]:
     """Load order, then document order within a load where the reader kept it."""
-    return F.struct("load_ord", "host_ord") if "host_ord" in df.columns else F.struct("load_ord")
+    return [c for c in PLACES[:2] if c in df.columns]
+
+
+#: What a host brings along from its first scan, where the reader has it.
+FIRST_SEEN = ["status", "hostname", "mac", "mac_vendor", "os_fingerprint"]
+OS_FIELDS = ["os_name", "os_accuracy", "os"]
+
+
+def host_states(hosts: DataFrame) -> DataFrame:
+    """Observations of hosts as states that :func:`fold_hosts` can fold: each rule of the merge as the value together with what
+    decides for it, so that a minimum, maximum or sum of states is the state of all their observations."""
+    places = _places(hosts)
+    at = lambda *values: F.struct(*places, *values)
+    known = lambda c, *values: F.when(F.col(c).isNotNull(), at(*values))
+    have = lambda names: [c for c in names if c in hosts.columns]
+    rank = (-F.coalesce("os_accuracy", F.lit(0))).alias("rank")
+    states = [
+        at(*have(FIRST_SEEN)).alias("first"), known("hostname", "hostname").alias("named"), known("mac", *have(["mac", "mac_vendor"])).alias("with_mac"),
+        F.when(F.col("os_name").isNotNull(), F.struct(rank, *places, *have(OS_FIELDS))).alias("best_os"),
+        F.coalesce(F.col("status") == "up", F.lit(False)).alias("any_up"), F.col("load_ord").alias("first_load"), F.col("load_ord").alias("last_load"),
+        F.lit(1).cast("bigint").alias("sightings"),
+    ]
+    if "netbios_name" in hosts.columns:
+        states.append(known("netbios_name", "netbios_name").alias("netbios"))
+    if "credentialed_scan" in hosts.columns:
+        states.append(F.coalesce("credentialed_scan", F.lit(False)).alias("credentialed_scan"))
+    return hosts.select("ip", *states)
+
+
+def fold_hosts(states: DataFrame) -> DataFrame:
+    """One state per IP. Folding folded states with new ones gives what folding everything at once would."""
+    greatest = {"any_up", "last_load", "credentialed_scan"}
+    how = lambda c: F.sum(c) if c == "sightings" else F.max(c) if c in greatest else F.min(c)
+    return states.groupBy("ip").agg(*[how(c).alias(c) for c in states.columns if c != "ip"])
 
 
-def _best_os(df: DataFrame, value: Column) -> Column:
-    """``value`` of the row with the most accurate OS guess, the earliest on ties."""
-    rank = F.struct((-F.coalesce("os_accuracy", F.lit(0))).alias("rank"), _order(df).alias("order"))
-    return F.min_by(value, F.when(F.col("os_name").isNotNull(), rank))
+def merged_hosts(states: DataFrame, profile: str = "web", merged_id=MERGED) -> DataFrame:
+    """The host rows that folded states stand for."""
+    first = states.schema["first"].dataType.names
+    if dims.check_profile(profile) == "web":
+        status = F.when(F.col("any_up"), "up").otherwise(F.col("first.status"))
+        source = {"hostname": "first", "mac": "first", "mac_vendor": "first"}
+    else:
+        status = F.col("first.status")
+        source = {"hostname": "named", "mac": "with_mac", "mac_vendor": "with_mac"}
+    taken = lambda c: F.col(f"{source[c]}.{c}").alias(c)
+    best = states.schema["best_os"].dataType.names
+    out = [
+        F.lit(merged_id).alias("scan_id"), F.col("ip"), taken("mac"), taken("hostname"), status.alias("status"),
+        F.col("best_os.os_name").alias("os_name"), F.col("best_os.os_accuracy").alias("os_accuracy"), F.col("first_load"), F.col("last_load"), F.col("sightings"),
+    ]
+    out += [taken("mac_vendor")] * ("mac_vendor" in first)
+    if "os" in best:
+        out.append(F.coalesce("best_os.os", F.array().cast(states.schema["best_os"].dataType["os"].dataType)).alias("os"))
+    out += [F.col("first.os_fingerprint").alias("os_fingerprint")] * ("os_fingerprint" in first)
+    out += [F.col("netbios.netbios_name").alias("netbios_name")] * ("netbios" in states.columns)
+    out += [F.col("credentialed_scan")] * ("credentialed_scan" in states.columns)
+    return states.select(*out)
 
 
 def merge_hosts(hosts: DataFrame, profile: str = "web", merged_id=MERGED) -> DataFrame:
     """One row per IP.
 
-    Both profiles: the OS guess of higher accuracy wins, the earlier one on ties.
-    Web: status becomes up once any scan saw the host up; name and MAC stay those of
-    the first scan. Desktop: status stays that of the first scan; name and MAC are
+    Both profiles: the OS guess of higher accuracy wins, the earlier one on ties, and brings its list of guesses. Web: status becomes up
+    once any scan saw the host up; name and MAC stay those of the first scan. Desktop: status stays that of the first scan; name and MAC are
     filled by the first scan that has them, the vendor coming along with the MAC.
-    NetBIOS name is the first known one, the credentialed flag any true.
+    The fingerprint stays that of the first scan. NetBIOS name is the first known one, the credentialed flag any true.
     """
-    dims.check_profile(profile)
-    order = _order(hosts)
-    has = lambda c: F.col(c).isNotNull()
-    best = _best_os(hosts, F.struct("os_name", "os_accuracy"))
-    vendor = "mac_vendor" in hosts.columns
-    aggs = [best.alias("best_os"), F.min("load_ord").alias("first_load"), F.max("load_ord").alias("last_load"), F.count(F.lit(1)).alias("sightings")]
-    if profile == "web":
-        first = F.min_by(F.struct("status", "hostname", "mac", *(["mac_vendor"] if vendor else [])), order)
-        aggs += [first.alias("first"), F.max(F.coalesce(F.col("status") == "up", F.lit(False))).alias("any_up")]
-        status = F.when(F.col("any_up"), "up").otherwise(F.col("first.status"))
-        hostname, mac, mac_vendor = F.col("first.hostname"), F.col("first.mac"), F.col("first.mac_vendor") if vendor else None
-    else:
-        pair = F.struct("mac", *(["mac_vendor"] if vendor else []))
-        aggs += [
-            F.min_by("status", order).alias("first_status"), F.min_by("hostname", F.when(has("hostname"), order)).alias("first_hostname"),
-            F.min_by(pair, F.when(has("mac"), order)).alias("first_mac"),
-        ]
-        status, hostname, mac = F.col("first_status"), F.col("first_hostname"), F.col("first_mac.mac")
-        mac_vendor = F.col("first_mac.mac_vendor") if vendor else None
-    out = [
-        F.lit(merged_id).alias("scan_id"), F.col("ip"), mac.alias("mac"), hostname.alias("hostname"), status.alias("status"),
-        F.col("best_os.os_name").alias("os_name"), F.col("best_os.os_accuracy").alias("os_accuracy"),
-        F.col("first_load"), F.col("last_load"), F.col("sightings"),
-    ]
-    if vendor:
-        out.append(mac_vendor.alias("mac_vendor"))
-    if "netbios_name" in hosts.columns:
-        aggs.append(F.min_by("netbios_name", F.when(has("netbios_name"), order)).alias("netbios_name"))
-        out.append(F.col("netbios_name"))
-    if "credentialed_scan" in hosts.columns:
-        aggs.append(F.max(F.coalesce("credentialed_scan", F.lit(False))).alias("credentialed_scan"))
-        out.append(F.col("credentialed_scan"))
-    return hosts.groupBy("ip").agg(*aggs).select(*out)
+    return merged_hosts(fold_hosts(host_states(hosts)), profile, merged_id)
 
 
-def merge_ports(ports: DataFrame, profile: str = "web", merged_id=MERGED) -> DataFrame:
-    """One row per IP, port and protocol.
+def fold_ports(ports: DataFrame, profile: str = "web") -> DataFrame:
+    """The observation that stands for each IP, port and protocol, with its load and place.
 
     Web keeps the first observation that names a product, else the first; desktop
     always keeps the first. The order is that of loads, then of hosts and ports in their
     document where the reader kept it.
     """
-    places = [c for c in ("load_ord", "host_ord", "port_ord") if c in ports.columns]
+    places = [c for c in PLACES if c in ports.columns]
     fields = [c for c in ports.columns if c not in ("scan_id", "ip", "port", "proto", *places)]
-    payload = [F.col(c) for c in fields]
     rank = F.col("product").isNull() if dims.check_profile(profile) == "web" else F.lit(False)
-    best = F.min(F.struct(rank.alias("rank"), *places, *payload)).alias("best")
-    return ports.groupBy("ip", "port", "proto").agg(best).select(
-        F.lit(merged_id).alias("scan_id"), "ip", "port", "proto", *[F.col(f"best.{c}").alias(c) for c in fields]
-    )
+    best = F.min(F.struct(rank.alias("rank"), *places, *fields)).alias("best")
+    return ports.groupBy("ip", "port", "proto").agg(best).select("ip", "port", "proto", *[F.col(f"best.{c}").alias(c) for c in places + fields])
+
+
+def merge_ports(ports: DataFrame, profile: str = "web", merged_id=MERGED) -> DataFrame:
+    """One row per IP, port and protocol; see :func:`fold_ports`."""
+    folded = fold_ports(ports, profile)
+    return folded.select(F.lit(merged_id).alias("scan_id"), *[c for c in folded.columns if c not in PLACES])
 
 
 def _first_loads(hosts: DataFrame) -> DataFrame:
@@ -128,29 +155,38 @@ def merge_cpes(host_cpes: DataFrame, merged_id=MERGED) -> DataFrame:
     )
 
 
+def fold_scripts(scripts: DataFrame) -> DataFrame:
+    """The result that stands for each IP, port and script, with its load and place: that of the first load which ran it."""
+    places = _places(scripts)
+    best = F.min(F.struct(*places, "output")).alias("best")
+    return scripts.groupBy("ip", "port", "script_id").agg(best).select("ip", "port", "script_id", *[F.col(f"best.{c}").alias(c) for c in [*places, "output"]])
+
+
 def merge_scripts(scripts: DataFrame, merged_id=MERGED) -> DataFrame:
-    """One result per IP, port and script: that of the first load which ran it."""
-    order = F.struct("load_ord", *(["host_ord"] if "host_ord" in scripts.columns else []), "output")
-    return scripts.groupBy("ip", "port", "script_id").agg(F.min(order).getField("output").alias("output")).select(
-        F.lit(merged_id).alias("scan_id"), "ip", "port", "script_id", "output"
-    )
+    """One result per IP, port and script; see :func:`fold_scripts`."""
+    return fold_scripts(scripts).select(F.lit(merged_id).alias("scan_id"), "ip", "port", "script_id", "output")
 
 
-def merge_trace(trace: DataFrame, profile: str = "web", merged_id=MERGED) -> DataFrame:
-    """One trace per IP: web the first non-empty one, desktop the longest (earlier on ties)."""
+def fold_trace(trace: DataFrame, profile: str = "web") -> DataFrame:
+    """The hops that stand for each IP, with their load: web those of the first load that has any, desktop the longest trace (earlier on ties)."""
     if dims.check_profile(profile) == "web":
         chosen = trace.groupBy("ip").agg(F.min("load_ord").alias("load_ord"))
     else:
         lengths = trace.groupBy("ip", "load_ord").agg(F.count(F.lit(1)).alias("n"))
         chosen = lengths.groupBy("ip").agg(F.max_by("load_ord", F.struct("n", -F.col("load_ord"))).alias("load_ord"))
-    columns = [c for c in trace.columns if c not in ("scan_id", "load_ord")]
-    return trace.join(chosen, ["ip", "load_ord"], "left_semi").select(F.lit(merged_id).alias("scan_id"), *columns)
+    return trace.join(chosen, ["ip", "load_ord"], "left_semi").select(*[c for c in trace.columns if c != "scan_id"])
+
+
+def merge_trace(trace: DataFrame, profile: str = "web", merged_id=MERGED) -> DataFrame:
+    """One trace per IP; see :func:`fold_trace`."""
+    folded = fold_trace(trace, profile)
+    return folded.select(F.lit(merged_id).alias("scan_id"), *[c for c in folded.columns if c != "load_ord"])
 
 
 def merge_os(hosts: DataFrame) -> DataFrame:
     """The winning OS guess per IP and the load it came from."""
-    best = _best_os(hosts, F.struct("os_name", "os_accuracy", "load_ord"))
-    return hosts.groupBy("ip").agg(best.alias("b")).select("ip", "b.os_name", "b.os_accuracy", F.col("b.load_ord").alias("from_load"))
+    best = fold_hosts(host_states(hosts).select("ip", "best_os"))
+    return best.select("ip", "best_os.os_name", "best_os.os_accuracy", F.col("best_os.load_ord").alias("from_load"))
 
 
 def import_report(existing_hosts: DataFrame, incoming_hosts: DataFrame, incoming_findings: DataFrame | None = None) -> DataFrame:
