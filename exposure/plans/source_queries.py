@@ -1,4 +1,4 @@
-"""Queries that read scanner reports and feeds, and the streaming import.
+"""Queries that read scanner reports and feeds.
 
 The documents are derived by Spark from the driver's tables (``render.py``), so reading
 them grows with the data like any other query.
@@ -6,9 +6,6 @@ them grows with the data like any other query.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from exposure.functions import columns as C
@@ -16,9 +13,7 @@ from exposure.operators import scripts as script_ops
 from exposure.plans import render
 from exposure.plans.projection import Projection
 from exposure.plans.registry import query
-from exposure.session import shared_folder
 from exposure.sources import detect, nessus, nmap, tags as tag_source, vulndb
-from exposure.streaming import ingest
 
 KEY = C.HOST_KEY
 
@@ -206,41 +201,3 @@ def sc15_tag_load(p):
     loaded = tag_source.parse_documents(render.tag_documents(p), "json")
     moved = migrate_tags(loaded, p.host_dim.select(F.lit(0).alias("scan_id"), "ip", "mac"), F.timestamp_seconds(F.lit(1800000000)))
     return moved.select("asset_key", F.array_join("labels", ";").alias("labels"), "owner", "last_ip", F.unix_seconds("last_seen").alias("last_seen"))
-
-
-# ------------------------------------------------------------------ streaming
-def run_folder(p: Projection, name: str) -> str:
-    """A fresh folder for one run, in the shared folder of the cluster where one is set."""
-    base = shared_folder(p.spark) or tempfile.mkdtemp(prefix="exposure-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
-@query("""SELECT m.ip, m.status, m.os_name, h.hostname, p.ports FROM (SELECT ip, CASE WHEN bool_or(status = 'up') THEN 'up' ELSE min_by(status, scan_id) END AS status, min(scan_id) AS first_load,
-  max_by(os_name, os_accuracy * 10000 - scan_id) FILTER (os_name IS NOT NULL) AS os_name FROM host_obs GROUP BY ip) m
-JOIN host_obs h ON h.ip = m.ip AND h.scan_id = m.first_load JOIN (SELECT ip, count(DISTINCT port * 2 + CASE proto WHEN 'udp' THEN 1 ELSE 0 END) AS ports FROM port_obs GROUP BY ip) p ON p.ip = m.ip""")
-def st01_streaming_import(p):
-    """Reports land in a folder, one set per scan; a stream imports and merges them."""
-    folder = run_folder(p, "import")
-    elements = render.nmap_hosts(p.hosts, p.ports).select(F.col("scan_id").alias("year"), F.col("xml").alias("value"))
-    elements.repartition("year").write.partitionBy("year").text(f"{folder}/landing")
-    stream = ingest.import_stream(p.spark, f"{folder}/landing", f"{folder}/tables", f"{folder}/checkpoint")
-    stream.awaitTermination()
-    inv = ingest.current_inventory(p.spark, f"{folder}/tables")
-    counted = inv.ports.groupBy("ip").agg(F.count(F.lit(1)).alias("ports"))
-    return inv.hosts.join(counted, "ip").select("ip", "status", "os_name", "hostname", "ports")
-
-
-@query("SELECT severity_label, count(*) AS findings, count(*) FILTER (exploit_available) AS exploitable FROM finding GROUP BY severity_label")
-def st02_live_severity_counts(p):
-    """Findings counted as they stream in; the sink holds one row per severity label."""
-    spark, name = p.spark, f"live_{uuid.uuid4().hex}"
-    events = spark.read.parquet(f"{p.dir}/events.parquet").schema
-    stream = spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(p.dir)
-    plugin = F.col("event_id") % 97
-    findings = stream.select((plugin % 5).cast("int").alias("severity"), (plugin % 4 == 0).alias("exploit_available")).where("severity > 0")
-    running = (
-        ingest.live_severity_counts(findings).writeStream.format("memory").queryName(name).outputMode("complete")
-        .option("checkpointLocation", run_folder(p, "live")).trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
-    return spark.table(name)
