@@ -25,9 +25,9 @@ def cpe_pairs(cpes: DataFrame, vuln_db: DataFrame, mode: str = "normalized") ->
     """Which database CPEs a port CPE reaches: ``cpe``, ``db_cpe``, ``match``.
 
     ``literal`` tests whether the database CPE starts with the first five ``:`` parts
-    of the port CPE, as text. That prefix fixes every part but its last, so the join is
-    an equi-join on those parts with the prefix test as a residual filter, not
-    a nested loop. ``normalized`` writes 2.2 CPEs in 2.3 form and requires
+    of the port CPE, as text, so ``prod1`` reaches ``prod10``. Each database CPE is cut to every length that such a prefix has in the data (few:
+    names are short) and the prefixes are met by equality, so the rows that meet are the matches, however many CPEs a
+    vendor has. ``normalized`` writes 2.2 CPEs in 2.3 form and requires
     the same part, vendor and product.
 
     Both sides are distinct CPEs, so the pairing does not grow with the ports.
@@ -35,14 +35,10 @@ def cpe_pairs(cpes: DataFrame, vuln_db: DataFrame, mode: str = "normalized") ->
     cpes = cpes.select("cpe").distinct()
     db = vuln_db.select(F.col("cpe").alias("db_cpe")).distinct()
     if mode == "literal":
-        parts = lambda c: F.split(c, ":")
-        left = cpes.select(
-            "cpe", C.cpe_base(F.col("cpe")).alias("base"), F.least(F.size(parts("cpe")), F.lit(5)).alias("k")
-        ).withColumn("stem", F.array_join(F.slice(parts("base"), F.lit(1), F.col("k") - 1), ":"))
-        right = db.select(
-            "db_cpe", F.explode(F.sequence(F.lit(1), F.least(F.size(parts("db_cpe")), F.lit(5)))).alias("k")
-        ).withColumn("stem", F.array_join(F.slice(parts("db_cpe"), F.lit(1), F.col("k") - 1), ":"))
-        joined = left.join(right, ["k", "stem"]).where(F.col("db_cpe").startswith(F.col("base")))
+        left = cpes.select("cpe", C.cpe_base(F.col("cpe")).alias("base"))
+        lengths = left.agg(F.collect_set(F.length("base"))).scalar()
+        cut = db.select("db_cpe", lengths.alias("lengths")).select("db_cpe", F.explode("lengths").alias("n")).where("n <= length(db_cpe)")
+        joined = left.join(cut.select("db_cpe", F.expr("substring(db_cpe, 1, n)").alias("base")), "base")
         kind = F.when(F.col("cpe") == F.col("db_cpe"), "exact").otherwise("prefix")
     elif mode == "normalized":
         product = lambda c: C.cpe_base(C.cpe_23(F.col(c)))

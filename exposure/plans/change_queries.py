@@ -53,7 +53,7 @@ def jn05_cve_match(p):
   SELECT o.scan_id, o.ip, v.cve, v.cvss, o.port, v.cpe, CASE WHEN o.cpe = v.cpe THEN 'exact' ELSE 'prefix' END AS match,
     row_number() OVER (PARTITION BY o.scan_id, o.ip, v.cve ORDER BY o.port, CASE WHEN o.cpe = v.cpe THEN 0 ELSE 1 END, v.cpe, v.ord) AS rn
   FROM (SELECT scan_id, ip, concat(replace(cpe, 'cpe:/', 'cpe:2.3:'), ':*:*:*:*:*:*:*') AS cpe, min(port) AS port FROM port_obs WHERE state = 'open' AND cpe IS NOT NULL GROUP BY ALL) o
-  JOIN vuln_db v ON array_to_string(list_slice(string_split(v.cpe, ':'), 1, 5), ':') = array_to_string(list_slice(string_split(o.cpe, ':'), 1, 5), ':')) m WHERE rn = 1""")
+  JOIN vuln_db v ON starts_with(v.cpe, array_to_string(list_slice(string_split(o.cpe, ':'), 1, 5), ':'))) m WHERE rn = 1""")
 def jn05_cve_match_literal(p):
     """Hosts against the database by the literal prefix rule, exact hits first; ports report CPEs in the database's form."""
     ports = p.ports.withColumn("cpe", F.concat(C.cpe_23(F.col("cpe")), F.lit(":*:*:*:*:*:*:*")))

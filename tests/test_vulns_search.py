@@ -103,3 +103,16 @@ def test_search_terms(inventory, terms, want):
 def test_visibility_counts_up_hosts(inventory):
     row = search.visibility(inventory, [("svc", "ssh")], "tagged").first()
     assert (row.visible, row.total) == (2, 2)
+
+
+def test_literal_prefixes_meet_by_equality(rows):
+    """One vendor holds a third of the database; one product name begins another; no vendor-wide join and no nested loop."""
+    names = [f"cpe:2.3:a:big:prod{i}:{i % 3}:*" for i in range(200)] + [f"cpe:2.3:a:v{i}:p:{i}:*" for i in range(400)]
+    db = rows([{"cpe": c, "ord": 0, "cve": "C"} for c in names], VULN)
+    cpes = ["cpe:2.3:a:big:prod1:9:*", "cpe:2.3:a:big:prod19", "cpe:2.3:a:big", "cpe:2.3:a:v7:p:7:*", "cpe:/a:big:prod1"]
+    pairs = vulns.cpe_pairs(rows([{"cpe": c} for c in cpes], "cpe string"), db, "literal")
+    want = {(c, n) for c in cpes for n in names if n.startswith(":".join(c.split(":")[:5]))}
+    assert {(r.cpe, r.db_cpe) for r in pairs.collect()} == want and ("cpe:2.3:a:big:prod1:9:*", "cpe:2.3:a:big:prod10:1:*") in want
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "Cartesian" not in plan and "StartsWith" not in plan and "slice(split" in plan
+    assert "stem" not in plan
