@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from exposure.functions import columns as C
 from exposure.inventory import Inventory
 from exposure.operators.tags import with_tags
-from exposure.operators.vulns import match_cves
+from exposure.operators.vulns import class_products, cve_classes, match_cves, open_products
 
 KEY = C.HOST_KEY
 
@@ -46,7 +46,7 @@ def postings(inv: Inventory) -> DataFrame:
         parts += [reported, rows(findings, "product", F.lower("plugin_name"))]
     if inv.vuln_db is not None:
         # A CVE is matched on its own, so the catalogue is divided before it meets the hosts and each part is matched once.
-        catalogue = inv.vuln_db.withColumn("lower_cve", F.lower("cve"))
+        catalogue = inv.vuln_db.withColumn("lower_cve", F.lower("cve")).where("cve <> ''")
         match = lambda db: rows(match_cves(opened, db.drop("lower_cve")), "cve", F.lower("cve"))
         if inv.findings is None:
             matched = match(catalogue)
@@ -61,3 +61,26 @@ def postings(inv: Inventory) -> DataFrame:
 def posting_counts(rows: DataFrame) -> DataFrame:
     """Per kind and key: how many distinct hosts, over all scans."""
     return rows.groupBy("kind", "key", "ip").agg(F.lit(1).alias("one")).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("hosts"))
+
+
+def key_counts(inv: Inventory) -> DataFrame:
+    """The counts of :func:`postings` without a posting per host and matched CVE.
+
+    Hosts are counted once for each class of CVEs (CVEs listed under the same products); a CVE's count is that of its class and the hosts beyond
+    it whose findings report the CVE.
+    """
+    rows = postings(inv.with_tables(vuln_db=None))
+    if inv.vuln_db is None:
+        return posting_counts(rows)
+    up = inv.hosts.where(F.col("status") == "up").select(*KEY)
+    catalogue = inv.vuln_db.withColumn("cve", F.lower("cve")).where("cve <> ''")
+    holders = open_products(inv.ports.join(up, KEY, "left_semi"), ["ip"]).join(class_products(catalogue), "stem").groupBy("class", "ip").agg(F.lit(1).alias("one"))
+    of_class = cve_classes(catalogue).select("class", F.explode("cves").alias("key"))
+    matched = of_class.join(holders.groupBy("class").agg(F.count(F.lit(1)).alias("hosts")), "class").select("key", "hosts")
+    counts = posting_counts(rows.where(F.col("kind") != "cve"))
+    if inv.findings is not None:
+        reported = rows.where(F.col("kind") == "cve").select("key", "ip").distinct().join(of_class, "key", "left")
+        beyond = reported.join(holders.select("class", "ip"), ["class", "ip"], "left_anti")
+        matched = matched.unionByName(beyond.groupBy("key").agg(F.count(F.lit(1)).alias("hosts")))
+    cves = matched.groupBy("key").agg(F.sum("hosts").alias("hosts"))
+    return counts.unionByName(cves.select(F.lit("cve").alias("kind"), "key", "hosts"))

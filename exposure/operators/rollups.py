@@ -119,15 +119,14 @@ def host_counts(inventory, cves: DataFrame | None = None) -> DataFrame:
     """
     from exposure.operators.risk import score_hosts
     from exposure.operators.scripts import vulnerability_scripts
-    from exposure.operators.vulns import match_cves
+    from exposure.operators.vulns import count_cves
 
     scored = score_hosts(inventory.hosts, inventory.ports, inventory.findings)
     admin = admin_ports(inventory.ports).groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("admin_ports"), F.count_if(F.col("admin_rank") <= 1).alias("critical_admin_ports")
     )
-    if cves is None:
-        cves = match_cves(inventory.ports, inventory.vuln_db)
-    counts = [admin, cves.groupBy(*KEY).agg(F.count(F.lit(1)).alias("cves"))]
+    per_host = count_cves(inventory.ports, inventory.vuln_db) if cves is None else cves.groupBy(*KEY).agg(F.count(F.lit(1)).alias("cves"))
+    counts = [admin, per_host]
     if inventory.scripts is not None:
         counts.append(vulnerability_scripts(inventory.scripts).groupBy(*KEY).agg(F.count(F.lit(1)).alias("script_vulns")))
     out = scored

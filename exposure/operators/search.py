@@ -21,7 +21,7 @@ from exposure.inventory import Inventory
 from exposure.operators import filters
 from exposure.operators.risk import score_hosts
 from exposure.operators.tags import with_tags
-from exposure.operators.vulns import match_cves
+from exposure.operators.vulns import hosts_matching
 
 KEY = C.HOST_KEY
 PORT_RANGE = re.compile(r"^(\d+)-(\d+)$")
@@ -79,11 +79,11 @@ def by_owner(hosts: DataFrame, inv: Inventory, value: str) -> DataFrame:
 def by_cve(hosts: DataFrame, inv: Inventory, value: str, source: str = "both") -> DataFrame:
     """CVEs matched by CPE, reported by findings, or both.
 
-    The database is filtered before the match, so only CPEs with such a CVE are paired.
+    The database is filtered first and reduced to the products with such a CVE, which is all a host is tested for.
     """
     hits = []
     if source in ("both", "database") and inv.vuln_db is not None:
-        hits.append(match_cves(inv.ports, inv.vuln_db.where(matches(F.col("cve"), value))).select(*KEY))
+        hits.append(hosts_matching(inv.ports, inv.vuln_db.where(matches(F.col("cve"), value))))
     if source in ("both", "findings") and inv.findings is not None:
         hits.append(inv.findings.where(F.exists("cves", lambda c: matches(c, value))).select(*KEY))
     return filters.hosts_with(hosts, reduce(DataFrame.unionByName, hits)) if hits else hosts.where(F.lit(False))

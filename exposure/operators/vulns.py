@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from exposure.functions import columns as C
+from exposure.operators.topk import top_n_per_group
 
 KEY = C.HOST_KEY
 
@@ -88,26 +89,97 @@ def match_cves(ports: DataFrame, vuln_db: DataFrame, mode: str = "normalized") -
     only CVEs of several products, and ports with several CPEs of one product, are
     grouped to find the first.
     """
-    opened = ports.where((F.col("state") == "open") & F.col("cpe").isNotNull()).select(*KEY, "cpe", "port")
-    on_host = opened.groupBy(*KEY, "cpe").agg(F.min("port").alias("port"))
-    per_cpe = _best_per_cpe(ports.where("state = 'open' AND cpe IS NOT NULL"), vuln_db, mode)
+    opened = _open_cpes(ports)
     if mode != "normalized":
-        return _match_columns(_first_per_cve(on_host.join(per_cpe, "cpe")))
-    product = lambda c: C.cpe_base(C.cpe_23(F.col(c)))
-    lowest = (
-        on_host.groupBy(*KEY, product("cpe").alias("stem"), "port").agg(F.collect_set("cpe").alias("cpes"))
+        on_host = opened.groupBy(*KEY, "cpe").agg(F.min("port").alias("port"))
+        return _match_columns(_first_per_cve(on_host.join(_best_per_cpe(opened, vuln_db, mode), "cpe")))
+    matched = _lowest(opened).join(_known(opened, vuln_db), "cpe")
+    alone = F.col("single") & F.col("one_product")
+    pairs = lambda rows: rows.select(*KEY, "cve", "port", "hit")
+    return _match_columns(pairs(matched.where(alone)).unionByName(_first_per_cve(pairs(matched.where(~alone)))))
+
+
+def _open_cpes(ports: DataFrame) -> DataFrame:
+    return ports.where((F.col("state") == "open") & F.col("cpe").isNotNull()).select(*KEY, "cpe", "port")
+
+
+def _product(cpe: str) -> Column:
+    """Part, vendor and product of a CPE in 2.3 form, which is all that normalized matching compares."""
+    return C.cpe_base(C.cpe_23(F.col(cpe)))
+
+
+def _lowest(opened: DataFrame) -> DataFrame:
+    """Per host and product the CPEs at its lowest port; ``single`` where that is one."""
+    on_host = opened.groupBy(*KEY, "cpe").agg(F.min("port").alias("port"))
+    return (
+        on_host.groupBy(*KEY, _product("cpe").alias("stem"), "port").agg(F.collect_set("cpe").alias("cpes"))
         .groupBy(*KEY, "stem").agg(F.min(F.struct("port", "cpes")).alias("at"))
         .select(*KEY, F.col("at.port").alias("port"), (F.size("at.cpes") == 1).alias("single"), F.explode("at.cpes").alias("cpe"))
     )
+
+
+def _known(opened: DataFrame, vuln_db: DataFrame) -> DataFrame:
+    """What is reported for each port CPE and CVE; ``one_product`` where the CVE is listed under one product only."""
     products = (
-        vuln_db.where(F.col("cve").isNotNull()).groupBy("cve", product("cpe").alias("stem")).agg(F.lit(1).alias("one"))
+        vuln_db.where(F.col("cve").isNotNull()).groupBy("cve", _product("cpe").alias("stem")).agg(F.lit(1).alias("one"))
         .groupBy("cve").agg((F.count(F.lit(1)) == 1).alias("one_product"))
     )
-    known = per_cpe.join(products, "cve")
-    matched = lowest.join(known, "cpe")
-    alone = F.col("single") & F.col("one_product")
+    return _best_per_cpe(opened, vuln_db, "normalized").join(products, "cve")
+
+
+def _stem() -> Column:
+    """The product of a CPE, null if it names none."""
+    return F.when(F.size(F.split(C.cpe_23(F.col("cpe")), ":")) >= 5, _product("cpe"))
+
+
+def open_products(ports: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Distinct hosts and products on their open ports: ``stem``."""
+    opened = _open_cpes(ports)
+    return opened.select(*keys, _stem().alias("stem")).where("stem IS NOT NULL").distinct()
+
+
+def cve_classes(vuln_db: DataFrame) -> DataFrame:
+    """cve, class, products: CVEs listed under the same products are one class, known by its smallest CVE. Whatever a host has open, it has all
+    CVEs of a class or none, so hosts meet classes instead of CVEs."""
+    listed = vuln_db.where(F.col("cve").isNotNull()).select("cve", _stem().alias("stem")).where("stem IS NOT NULL")
+    per_cve = listed.distinct().groupBy("cve").agg(F.array_sort(F.collect_set("stem")).alias("products"))
+    return per_cve.groupBy("products").agg(F.min("cve").alias("class"), F.collect_list("cve").alias("cves"))
+
+
+def class_products(vuln_db: DataFrame) -> DataFrame:
+    """stem, class, cves: the classes of each product and how many CVEs they have."""
+    return cve_classes(vuln_db).select(F.explode("products").alias("stem"), "class", F.size("cves").cast("bigint").alias("cves"))
+
+
+def count_cves(ports: DataFrame, vuln_db: DataFrame) -> DataFrame:
+    """Per host how many CVEs its open ports match (normalized), without a row per host and CVE."""
+    met = open_products(ports).join(class_products(vuln_db), "stem")
+    return met.groupBy(*KEY, "class").agg(F.max("cves").alias("cves")).groupBy(*KEY).agg(F.sum("cves").alias("cves"))
+
+
+def hosts_matching(ports: DataFrame, vuln_db: DataFrame) -> DataFrame:
+    """Hosts with an open port whose product has any CVE of the database (normalized)."""
+    listed = vuln_db.where(F.col("cve").isNotNull()).select(_stem().alias("stem")).distinct()
+    return _open_cpes(ports).select(*KEY, _stem().alias("stem")).join(listed, "stem", "left_semi").select(*KEY).distinct()
+
+
+def top_cves(ports: DataFrame, vuln_db: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` CVEs of highest CVSS per host as :func:`match_cves` reports them (normalized), their ``rank``, and how many ``more`` there are.
+
+    A CVE of a single product comes to a host through one CPE, so of those a CPE hands on its first ``n`` only.
+    """
+    opened = _open_cpes(ports)
+    lowest, known = _lowest(opened), _known(opened, vuln_db)
+    order = [F.desc("hit.cvss"), F.asc("cve")]
+    first = top_n_per_group(known.where("one_product"), ["cpe"], order, n).select("cpe", "cve", "hit")
     pairs = lambda rows: rows.select(*KEY, "cve", "port", "hit")
-    return _match_columns(pairs(matched.where(alone)).unionByName(_first_per_cve(pairs(matched.where(~alone)))))
+    alone = pairs(lowest.where("single").join(first, "cpe"))
+    # All CPEs of a product reach the same CVEs, so what is left are CVEs of several products and hosts with several CPEs at a port.
+    rest = lowest.where("single").join(known.where("not one_product"), "cpe").select(*KEY, "cve", "port", "hit")
+    several = lowest.where("not single").join(known, "cpe").select(*KEY, "cve", "port", "hit")
+    found = _match_columns(alone.unionByName(_first_per_cve(rest.unionByName(several))))
+    shown = top_n_per_group(found, KEY, [F.desc("cvss"), F.asc("cve")], n).join(count_cves(ports, vuln_db), KEY)
+    return shown.withColumn("more", F.greatest(F.col("cves") - n, F.lit(0).cast("bigint"))).drop("cves")
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:

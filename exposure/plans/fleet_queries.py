@@ -407,7 +407,7 @@ def ag15_postings(p):
 
 @query(f"SELECT kind, key, count(DISTINCT ip) AS hosts FROM ({POSTING_SQL}) z GROUP BY kind, key")
 def ag15_posting_counts(p):
-    return postings.posting_counts(postings.postings(p.inventory))
+    return postings.key_counts(p.inventory)
 
 
 # ------------------------------------------------------------------ groups
@@ -486,7 +486,7 @@ def tk02_admin_preview(p):
 @query("""SELECT scan_id, ip, cve, cvss, CAST(rn AS INT) AS rank, greatest(n - 3, 0) AS more FROM (
   SELECT *, row_number() OVER (PARTITION BY scan_id, ip ORDER BY cvss DESC, cve) AS rn, count(*) OVER (PARTITION BY scan_id, ip) AS n FROM cve_match) f WHERE rn <= 3""")
 def tk02_cve_preview(p):
-    return topk.preview(vulns.match_cves(p.ports, p.vuln_db), KEY, [F.desc("cvss"), F.asc("cve")], 3).select(*KEY, "cve", "cvss", "rank", "more")
+    return vulns.top_cves(p.ports, p.vuln_db, 3).select(*KEY, "cve", "cvss", "rank", "more")
 
 
 @query("""SELECT scan_id, port, ip, CAST(rn AS INT) AS rank, greatest(n - 3, 0) AS more FROM (

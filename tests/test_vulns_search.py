@@ -116,3 +116,46 @@ def test_literal_prefixes_meet_by_equality(rows):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "Cartesian" not in plan and "StartsWith" not in plan and "slice(split" in plan
     assert "stem" not in plan
+
+
+def shared_catalogue(seed):
+    """Ports and a database in which CVEs are listed under several products and ports report several CPEs of one."""
+    import random
+
+    rng = random.Random(seed)
+    product = lambda: f"cpe:2.3:a:v{rng.randrange(2)}:p{rng.randrange(5)}:{rng.choice(['1', '2', '*'])}"
+    ports = [{"scan_id": rng.randrange(2), "ip": f"h{rng.randrange(6)}", "port": rng.choice([22, 80]), "proto": rng.choice(["tcp", "udp"]), "state": rng.choice(["open", "open", "closed"]), "cpe": rng.choice([None, "cpe:/a:x", product(), product()])} for _ in range(60)]
+    db = [{"cpe": product() + ":*", "ord": i, "cve": rng.choice([None, "", f"CVE-{rng.randrange(25)}"]), "cvss": float(rng.randrange(4)), "descr": "d"} for i in range(70)]
+    return ports, db
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_counts_existence_and_top_equal_the_whole_match(rows, seed):
+    from conftest import HOST, PORT
+    from exposure.operators import postings, topk
+    from pyspark.sql import functions as F
+
+    data, listed = shared_catalogue(seed)
+    ports, db = rows(data, PORT), rows(listed, VULN)
+    whole = vulns.match_cves(ports, db)
+    lines = lambda df: sorted(map(str, map(tuple, df.collect())))
+    assert lines(vulns.count_cves(ports, db)) == lines(whole.groupBy("scan_id", "ip").agg(F.count("*").alias("cves")))
+    assert lines(vulns.hosts_matching(ports, db)) == lines(whole.select("scan_id", "ip").distinct())
+    columns = ["scan_id", "ip", "cve", "cvss", "port", "rank", "more"]
+    preview = topk.preview(whole, ["scan_id", "ip"], [F.desc("cvss"), F.asc("cve")], 3)
+    assert lines(vulns.top_cves(ports, db, 3).select(*columns)) == lines(preview.select(*columns))
+    hosts = rows([{"scan_id": s, "ip": f"h{i}", "status": "up" if i else "down", "os_name": "Linux box"} for s in range(2) for i in range(6)], HOST)
+    found = rows([{"scan_id": 0, "ip": f"h{i}", "finding_ord": i, "plugin_id": i, "plugin_name": "n", "severity": 1, "cves": [f"cve-{i * 3}", f"CVE-{i}", "CVE-x"]} for i in range(6)], FINDING)
+    for findings in (found, None):
+        inv = Inventory(hosts=hosts, ports=ports, findings=findings, vuln_db=db)
+        assert lines(postings.key_counts(inv)) == lines(postings.posting_counts(postings.postings(inv)))
+
+
+def test_counting_cves_meets_classes_and_not_cves(rows):
+    """Two thousand CVEs of one product are one class: a host joins one row."""
+    from conftest import PORT
+
+    db = rows([{"cpe": "cpe:2.3:a:big:p:1:*", "ord": i, "cve": f"CVE-{i}"} for i in range(2000)] + [{"cpe": "cpe:2.3:a:big:q:1:*", "ord": 0, "cve": "CVE-7"}], VULN)
+    assert sorted((r.stem, r["class"], r.cves) for r in vulns.class_products(db).collect()) == [("cpe:2.3:a:big:p", "CVE-0", 1999), ("cpe:2.3:a:big:p", "CVE-7", 1), ("cpe:2.3:a:big:q", "CVE-7", 1)]
+    ports = rows([{"scan_id": 1, "ip": f"h{i}", "port": 80, "proto": "tcp", "state": "open", "cpe": c} for i in range(3) for c in ("cpe:/a:big:p:1", "cpe:/a:big:q:2")], PORT)
+    assert {r.cves for r in vulns.count_cves(ports, db).collect()} == {2000}
