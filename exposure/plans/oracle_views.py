@@ -74,14 +74,13 @@ SELECT CASE WHEN mac IS NULL THEN concat('ip:', ip) ELSE concat('mac:', upper(ma
   CASE (host_id // 5) % 8 WHEN 0 THEN 'ckt' WHEN 1 THEN 'mission-critical' WHEN 2 THEN 'crown' WHEN 3 THEN 'choke' WHEN 4 THEN 'pivot' WHEN 5 THEN 'production'
     WHEN 6 THEN 'staging' ELSE 'p1' END AS label,
   CASE WHEN host_id % 15 = 0 THEN 'soc' ELSE NULL END AS owner, CASE WHEN host_id % 35 = 0 THEN 'note' ELSE NULL END AS notes, ip AS last_ip, host_id
-FROM host_dim WHERE host_id % 5 = 0""",
+FROM host_dim""",
     "trace_hop": """
 SELECT 0 AS scan_id, h.ip, CAST(t.ttl AS INT) AS ttl,
   CASE t.ttl WHEN 1 THEN concat('10.255.', n.n_regionkey, '.1')
     WHEN 2 THEN CASE WHEN n.n_nationkey % 9 = 0 THEN '*' ELSE concat('10.254.', n.n_nationkey, '.1') END ELSE h.ip END AS hop_ip,
   CASE t.ttl WHEN 1 THEN concat('core', n.n_regionkey) ELSE NULL END AS hop_host, CAST(t.ttl * (1 + h.host_id % 7) AS DOUBLE) / 4 AS rtt
-FROM host_dim h JOIN nation n ON h.c_nationkey = n.n_nationkey CROSS JOIN (SELECT 1 AS ttl UNION ALL SELECT 2 UNION ALL SELECT 3) t
-WHERE h.host_id % 4 <> 3""",
+FROM host_dim h JOIN nation n ON h.c_nationkey = n.n_nationkey CROSS JOIN (SELECT 1 AS ttl UNION ALL SELECT 2 UNION ALL SELECT 3) t""",
     "script_host": """
 SELECT 0 AS scan_id, ip, host_id,
   CAST(CASE WHEN host_id % 2 = 0 THEN CASE host_id % 3 WHEN 0 THEN 443 WHEN 1 THEN 80 ELSE 22 END END AS INT) AS port,

@@ -160,7 +160,7 @@ class Projection:
     @cached_property
     def tags(self) -> DataFrame:
         key = F.col("host_id")
-        return self.host_dim.where(key % 5 == 0).select(
+        return self.host_dim.select(
             C.asset_key(F.col("mac"), F.col("ip")).alias("asset_key"),
             F.array(pick("(host_id DIV 5) % 8", LABELS)).alias("labels"),
             F.when(key % 15 == 0, "soc").alias("owner"),
@@ -173,7 +173,7 @@ class Projection:
     def trace(self) -> DataFrame:
         nation = self.table("nation").select("n_nationkey", "n_regionkey")
         hops = (
-            self.host_dim.where(F.col("host_id") % 4 != 3)
+            self.host_dim
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .withColumn("ttl", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
         )
