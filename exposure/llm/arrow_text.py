@@ -6,7 +6,8 @@ arrays beside a batch stay small however long the batch is; only a single docume
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,35 @@ SLICE = 2 << 20
 PAD = 16
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` over batches, which gives freed memory back to the system after every few batches and at its end. Spark keeps Python workers for
+    the tasks to come, and what their allocators hold back would add up from one step of a job to the next."""
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def own() -> Iterator[pa.RecordBatch]:
+            seen = 0
+            for batch in batches:
+                seen += batch.nbytes
+                yield batch
+                if seen > 8 * SLICE:
+                    seen = 0
+                    release()
+
+        try:
+            yield from run(own())
+        finally:
+            release()
+
+    return trimmed
+
+
 def text_column(column) -> pa.Array:
     """A string or binary column as Arrow binary with 64-bit offsets; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -89,7 +89,7 @@ def sketches(docs: DataFrame, k: int, h: int, m: int, id_col: str, text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1.astype(np.int64)), pa.array(k2.astype(np.int64)), pa.array(rows, pa.binary()), *batch.columns[2:]], ["doc_id", "n_shingles", "k1", "k2", "sketch", *carry])
 
     carried = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col), *carry).mapInArrow(sketch, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary" + carried)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), *carry).mapInArrow(at.lean(sketch), "doc_id long, n_shingles long, k1 long, k2 long, sketch binary" + carried)
 
 
 def table_keys(nodes: DataFrame, h: int, m: int) -> DataFrame:
@@ -118,7 +118,7 @@ def table_keys(nodes: DataFrame, h: int, m: int) -> DataFrame:
                 columns = np.concatenate([key[first], own]), np.concatenate([owner[first], ties[0]]), np.concatenate([owner[first], ties[1]])
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["key", "node", "tie"])
 
-    return nodes.select("node", "sketch").mapInArrow(keys, "key long, node long, tie long")
+    return nodes.select("node", "sketch").mapInArrow(at.lean(keys), "key long, node long, tie long")
 
 
 def families(nodes: DataFrame, h: int, m: int) -> DataFrame:
@@ -211,12 +211,12 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int, id_col: str
     wanted = F.broadcast(wanted) if members.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS else wanted
     texts = docs.select(F.col(id_col).cast("long").alias("rep_id"), F.col(text_col).alias("text"))
     held = texts.join(wanted, texts["rep_id"].eqNullSafe(wanted["rep"])).select("node", "family", "blocks", "k1", "k2", "text")
-    held = held.mapInArrow(with_sets, "node long, family long, blocks int, shingles binary")
+    held = held.mapInArrow(at.lean(with_sets), "node long, family long, blocks int, shingles binary")
     # A block meets itself (where it is the only one) or every other block of its family.
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block"))))
     spread = held.withColumn("block", block).withColumn("other", other).select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "shingles")
-    return spread.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(compare, "a long, b long")
+    return spread.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(at.lean(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, h: int = 3, m: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

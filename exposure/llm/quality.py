@@ -39,7 +39,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
             edges = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(edges, flat), *batch.columns[2:]], ["doc_id", "x", *carry])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col), *carry).mapInArrow(measure, "doc_id long, x array<double>" + _types(docs, carry))
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), *carry).mapInArrow(at.lean(measure), "doc_id long, x array<double>" + _types(docs, carry))
 
 
 def _types(docs: DataFrame, columns: tuple[str, ...]) -> str:
@@ -95,7 +95,7 @@ def summed(rows: DataFrame, size: int, make) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["i", "v"])
 
     out = np.zeros(size)
-    for row in rows.mapInArrow(add, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+    for row in rows.mapInArrow(at.lean(add), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         out[row["i"]] = row["v"]
     return out
 
@@ -150,5 +150,5 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", features:
             out = np.full(len(m), values[0]) if weights is None else values[bins(fourier(m) @ weights)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), *(batch.column(c) for c in carry)], ["doc_id", "score", *carry])
 
-    scored = x.mapInArrow(rate, "doc_id long, score double" + _types(docs, carry))
+    scored = x.mapInArrow(at.lean(rate), "doc_id long, score double" + _types(docs, carry))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *carry)

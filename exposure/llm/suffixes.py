@@ -14,23 +14,22 @@ A byte is repeated if some string of ``LENGTH`` bytes that covers it also starts
    a whole window long. An anchor with more than ``CROWD`` different contexts isn't gathered in a task; its windows are
    counted by their contents instead, which is the same question for one length.
 
-``keep="first"`` removes copies of what occurs earlier, texts in order of (doc_id, checksum) and positions in them;
+``keep="first"`` removes copies of what occurs earlier, texts in order of (doc_id, MD5 of the text), null ids first, and positions in them;
 ``keep="none"`` removes every occurrence of what occurs more than once.
 
-A null text counts as empty. Texts shorter than ``LENGTH`` bytes are kept whole. Rows that repeat a doc_id are texts of
-their own if they differ; rows alike in both are copies of each other for ``keep="none"``, and keep or lose the same bytes
-for ``keep="first"``. An empty table gives no rows. Columns of other names are not read.
+A null text counts as empty. Texts shorter than ``LENGTH`` bytes are kept whole. A text is known by its doc_id and the 128 bits of its MD5, so rows
+that share a doc_id, or have none, are texts of their own if they differ; rows alike in both are copies of each other for ``keep="none"``, and keep
+or lose the same bytes for ``keep="first"``. An empty table gives no rows. Columns of other names are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exposure.llm import arrow_text as at
@@ -98,7 +97,7 @@ def anchor_runs(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram
     return text[first], s, e, p, hashes[p], rolling.some(s, e + length)
 
 
-ANCHORS = "doc_id long, crc long, start long, reach int, lead int, gram long, context long"
+ANCHORS = "doc_id long, crc binary, start long, reach int, lead int, gram long, context long"
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -107,16 +106,16 @@ def anchors(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = at.text_column(batch.column("text")), batch.column("doc_id")
+            texts, ids, sums = at.text_column(batch.column("text")), batch.column("doc_id"), batch.column("crc")
             for a, b in at.slices(texts, 1 << 20):
                 part = texts.slice(a, b - a)
                 buf, offsets = at.buffer_of(part)
                 text, s, e, p, gram, context = anchor_runs(buf, offsets)
-                crc = np.array([zlib.crc32(buf[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int64)
-                columns = [ids.take(pa.array(text + a)), crc[text], s - offsets[text], (e - s).astype(np.int32), (p - s).astype(np.int32), gram.astype(np.int64), context.astype(np.int64)]
+                rows = pa.array(text + a)
+                columns = [ids.take(rows), sums.take(rows), s - offsets[text], (e - s).astype(np.int32), (p - s).astype(np.int32), gram.astype(np.int64), context.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in ANCHORS.split(", ")])
 
-    return docs.mapInArrow(find, ANCHORS)
+    return docs.select("doc_id", "crc", "text").mapInArrow(at.lean(find), ANCHORS)
 
 
 def ranks(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
@@ -197,15 +196,27 @@ def copied_windows(contexts: list[bytes], reach: np.ndarray, length: int = LENGT
 KEY = ["gram", "context", "lead", "reach"]
 
 
+NO_ID = -(1 << 63)
+
+
+def text_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """What a text is known and ordered by, never null: its id (a number below all others for none) and the MD5 of its bytes. No text ends in the byte
+    that tells a null id from one that is that number."""
+    doc_id, text = doc_id.cast("long"), F.coalesce(text, F.lit("")).cast("binary")
+    return F.coalesce(doc_id, F.lit(NO_ID)), F.unhex(F.md5(F.when(doc_id.isNull(), F.concat(text, F.lit(b"\xff"))).otherwise(text)))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and crc as ``text_key`` has them, no_id (whether the id is null) and text."""
+    doc_id, crc = text_key(F.col(id_col), F.col(text_col))
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), crc.alias("crc"), F.col(id_col).isNull().alias("no_id"), text.alias("text"))
 
 
 def with_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """``rows`` of (doc_id, crc, ...) beside their texts."""
-    texts = docs.select(F.col("doc_id").alias("d"), F.crc32("text").alias("c"), "text")
-    return texts.join(rows, texts["d"].eqNullSafe(rows["doc_id"]) & (texts["c"] == rows["crc"]), how)
+    texts = docs.select(F.col("doc_id").alias("d"), F.col("crc").alias("c"), "no_id", "text")
+    return texts.join(rows, (texts["d"] == rows["doc_id"]) & (texts["c"] == rows["crc"]), how)
 
 
 def partial_matches(docs: DataFrame, classes: DataFrame, later: bool) -> DataFrame:
@@ -241,11 +252,11 @@ def partial_matches(docs: DataFrame, classes: DataFrame, later: bool) -> DataFra
         if held:
             yield solve()
 
-    sorted_ = few.repartition("gram").sortWithinPartitions("gram").select("doc_id", "crc", "start", *KEY, "bytes").mapInArrow(sort, "gram long, context long, lead int, reach int, first long, last long")
+    sorted_ = few.repartition("gram").sortWithinPartitions("gram").select("doc_id", "crc", "start", *KEY, "bytes").mapInArrow(at.lean(sort), "gram long, context long, lead int, reach int, first long, last long")
 
     window = F.expr(f"substring(bytes, cast(j + 1 as int), {LENGTH})")
     opened = many.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("reach")))).select("doc_id", "crc", "start", *KEY, "j", F.xxhash64(window).alias("w1"), F.xxhash64(window, F.lit(1)).alias("w2"))
-    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "crc", F.col("start") + F.col("j"))
+    place = F.struct("doc_id", "crc", F.col("start") + F.col("j"))
     counted = opened.groupBy("gram", "w1", "w2").agg(F.count("*").alias("times"), F.min(place).alias("earliest")).where("times > 1")
     crowded = opened.join(counted, ["gram", "w1", "w2"])
     if not later:
@@ -329,7 +340,8 @@ def deduplicate(docs: DataFrame, keep: str = "first", id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, crc long" * with_kept
-    return with_text(base, ranges, "left").select(F.col("d").alias("doc_id"), F.col("c").alias("crc"), "text", "ranges").mapInArrow(cut, schema)
+    doc_id = F.when(~F.col("no_id"), F.col("d")).alias("doc_id")
+    return with_text(base, ranges, "left").select(doc_id, F.crc32("text").alias("crc"), "text", "ranges").mapInArrow(at.lean(cut), schema)
 
 
 def without_repeats(docs: DataFrame, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
@@ -338,8 +350,8 @@ def without_repeats(docs: DataFrame, keep: str = "first", id_col: str = "doc_id"
     cuts is dropped; a text without cuts, null included, stays as it is."""
     base = keyed(docs, id_col, text_col)
     ranges = text_ranges(repeated(base, keep)).select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), F.col("ranges").alias("_ranges"))
-    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    joined = docs.withColumn("_own_crc", crc).join(ranges, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_crc") == F.col("_crc")), "left")
+    doc_id, crc = text_key(F.col(id_col), F.col(text_col))
+    joined = docs.withColumns({"_own_id": doc_id, "_own_crc": crc}).join(ranges, (F.col("_own_id") == F.col("_id")) & (F.col("_own_crc") == F.col("_crc")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,4 +383,4 @@ def without_repeats(docs: DataFrame, keep: str = "first", id_col: str = "doc_id"
                     columns.append(batch.column(field.name))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in batch.schema if f.name != "_ranges"]).filter(pa.array(stay))
 
-    return joined.select(*docs.columns, "_ranges").mapInArrow(cut, docs.schema)
+    return joined.select(*docs.columns, "_ranges").mapInArrow(at.lean(cut), docs.schema)

@@ -192,7 +192,9 @@ def score(docs: DataFrame, labels: DataFrame, categories: list[str], target: str
             rows = [r.tobytes() for part in presence(at.text_column(batch.column("text")), chosen) for r in np.packbits(part > 0, axis=1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary()), *(batch.column(c) for c in categories)], ["doc_id", "bits", *categories])
 
-    picked = texts.join(small(stored(bounded(train, sample), "sample"), sample), "doc_id").select("doc_id", "text", *categories)
+    chosen_rows = texts.join(small(stored(bounded(train, sample), "sample"), sample), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("one")  # of rows that share an id one is learned from
+    picked = chosen_rows.groupBy("doc_id").agg(one, *(F.max(c).alias(c) for c in categories)).select("doc_id", "one.text", *categories)
     rows = picked.mapInArrow(design, "doc_id long, bits binary, " + ", ".join(f"{c} double" for c in categories)).orderBy("doc_id", "bits").toArrow()
     x = np.unpackbits(np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(rows.num_rows, -(-len(chosen) // 8)), axis=1)[:, : len(chosen)].astype(np.float32)
     y = np.stack([np.asarray(rows.column(c).combine_chunks()) for c in categories], axis=1)

@@ -290,3 +290,60 @@ def test_kneser_ney_is_a_distribution_and_prefers_what_it_saw():
 
 def test_hash_of_nothing():
     assert hashlib.sha256(b"").hexdigest() == brute.contamination([(1, None)], [])[0][4]
+
+
+@pytest.mark.parametrize("ids", [(None, 7), (3, 7), (7, None), (None, None), (5, 5), (-(1 << 63), None)])
+def test_repeats_with_null_and_reused_ids(spark, docs_of, ids):
+    """The first of two copies keeps the passage, whatever their ids; every copy goes with keep="none"."""
+    rng = random.Random(4)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, texts = prose(260), []
+    for k in range(len(ids)):
+        texts.append(prose(149) + str(k) + passage + str(k) + prose(149))
+    docs = docs_of(list(zip(ids, texts)))
+    none = sorted((r.n_bytes, r.n_removed) for r in suffixes.deduplicate(docs, keep="none").collect())
+    assert none == [(560, 260), (560, 260)]
+    first = suffixes.deduplicate(docs, keep="first").collect()
+    assert sorted(r.n_removed for r in first) == [0, 260] and {r.doc_id for r in first} == set(ids)
+    if ids[0] is None and ids[1] is not None:
+        assert [r.n_removed for r in first if r.doc_id is None] == [0]
+    left = [r.text for r in suffixes.without_repeats(docs, keep="first").collect()]
+    assert sum(passage in t for t in left) == 1
+
+
+def with_crc32(raw, wanted):
+    """``raw`` and six letters of ASCII that give it a CRC-32: the checksum is linear in the bits that may be flipped."""
+    base = raw + b"@" * 8  # bits 0 to 4 of each byte are free and keep it a letter or a mark
+    start = zlib.crc32(base)
+    flips = [(at_, 1 << bit) for at_ in range(len(raw), len(base)) for bit in range(5)]
+    rows = []
+    for n, (at_, bit) in enumerate(flips):
+        other = bytearray(base)
+        other[at_] ^= bit
+        rows.append((zlib.crc32(bytes(other)) ^ start, 1 << n))
+    left, chosen = start ^ wanted, 0
+    for k in range(32):
+        pivot = next(((v, m) for v, m in rows if v >> k & 1), None)
+        if pivot is None:
+            assert not left >> k & 1
+            continue
+        rows = [(v ^ pivot[0], m ^ pivot[1]) if v >> k & 1 else (v, m) for v, m in rows]
+        if left >> k & 1:
+            left, chosen = left ^ pivot[0], chosen ^ pivot[1]
+    out = bytearray(base)
+    for n, (at_, bit) in enumerate(flips):
+        if chosen >> n & 1:
+            out[at_] ^= bit
+    return bytes(out)
+
+
+def test_texts_of_one_id_and_equal_crc32_are_different_texts(spark, docs_of):
+    """Two texts under a null id whose CRC-32 agrees: only the one that repeats something loses it."""
+    rng = random.Random(8)
+    passage, other = "".join(rng.choices("abcdefgh ", k=260)), "".join(rng.choices("abcdefgh ", k=400))
+    linked = "x" * 100 + passage + "y" * 40
+    forged = with_crc32(other.encode(), zlib.crc32(linked.encode())).decode()
+    assert zlib.crc32(forged.encode()) == zlib.crc32(linked.encode()) and forged != linked
+    docs = docs_of([(None, linked), (None, forged), (1, "z" * 30 + passage)])
+    removed = {r.n_bytes: r.n_removed for r in suffixes.deduplicate(docs, keep="none").collect()}
+    assert removed == {len(linked): 260, len(forged): 0, 290: 260}
