@@ -157,11 +157,16 @@ def search_and_filter(inv: Inventory, terms: list[tuple[str, str]], filter_name:
     return search(inv.with_tables(hosts=filters.entity_filter(inv, filter_name)), terms)
 
 
+def visible_of(inv: Inventory, shown: DataFrame) -> DataFrame:
+    """Per scan: up hosts in all, and how many of them are ``shown``."""
+    visible = shown.groupBy("scan_id").agg(F.count(F.lit(1)).alias("visible"))
+    total = filters.up_hosts(inv.hosts).groupBy("scan_id").agg(F.count(F.lit(1)).alias("total"))
+    return total.join(visible, "scan_id", "left").select("scan_id", F.coalesce("visible", F.lit(0).cast("bigint")).alias("visible"), "total")
+
+
 def visibility(inv: Inventory, terms: list[tuple[str, str]], filter_name: str = "all") -> DataFrame:
     """Per scan: up hosts in all, and how many the search and filter leave visible."""
-    shown = search_and_filter(inv, terms, filter_name).groupBy("scan_id").agg(F.count(F.lit(1)).alias("visible"))
-    total = filters.up_hosts(inv.hosts).groupBy("scan_id").agg(F.count(F.lit(1)).alias("total"))
-    return total.join(shown, "scan_id", "left").select("scan_id", F.coalesce("visible", F.lit(0).cast("bigint")).alias("visible"), "total")
+    return visible_of(inv, search_and_filter(inv, terms, filter_name))
 
 
 def quick_search(inv: Inventory, value: str) -> DataFrame:

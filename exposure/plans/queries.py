@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from exposure.plans import change_queries, fleet_queries, source_queries, stream_queries  # noqa: F401
+from exposure.plans import change_queries, fleet_queries, index_queries, source_queries, stream_queries  # noqa: F401
 from exposure.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
