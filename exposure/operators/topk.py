@@ -42,6 +42,43 @@ def sort_entities(scored: DataFrame, by: str = "risk", n: int | None = None) ->
     return out if n is None else out.limit(n)
 
 
+def placed(df: DataFrame, order: list[Column], path: str) -> DataFrame:
+    """``df`` with its ``place`` (from 1) in ``order``, which must leave no ties if places are to be repeatable.
+
+    Rows are range partitioned and sorted once and written to ``path``, which all executors must reach, with their partition and number in
+    it. A place is that number plus the rows of the partitions before, so the only sums over partitions are of one row a task. A range
+    holds about as many rows as any other, whichever key is frequent, as long as ``order`` tells its rows apart.
+    """
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.select("*", F.spark_partition_id().alias("_part"), number.alias("_number")).write.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    sizes = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    counted = stored.join(sizes.select("_part", before.alias("_before")), "_part")
+    return counted.select(*df.columns, (F.col("_before") + F.col("_number") + 1).alias("place"))
+
+
+def placed_in_groups(df: DataFrame, keys: list[str], order: list[Column], path: str) -> DataFrame:
+    """``df`` with its ``place`` in ``order`` within the rows of ``keys``: the place among all rows less that of the group's first, so that
+    no group is sorted in one task."""
+    rows = placed(df, [*[F.asc(k) for k in keys], *order], path)
+    first = rows.groupBy(*keys).agg(F.min("place").alias("_first"))
+    return rows.join(first, keys).select(*df.columns, (F.col("place") - F.col("_first") + 1).alias("place"))
+
+
+def place_entities(scored: DataFrame, by: str, path: str) -> DataFrame:
+    """Every host with its ``place`` by ``risk`` (highest first), ``ip`` or ``ports`` (most first); ties by scan and IP."""
+    first = {"risk": [F.desc("risk")], "ip": [F.asc("ip")], "ports": [F.desc("port_rows")]}[by]
+    return placed(scored, [*first, F.asc("scan_id"), F.asc("ip")], path)
+
+
+def place_findings(findings: DataFrame, path: str) -> DataFrame:
+    """Findings with their ``place`` within their host, in the order of :func:`order_findings`."""
+    score = F.coalesce("cvss3", "cvss", F.lit(0.0))
+    return placed_in_groups(findings, C.HOST_KEY, [F.desc("severity"), F.desc(score), F.asc("finding_ord")], path)
+
+
 def order_findings(findings: DataFrame) -> DataFrame:
     """Findings by severity, then CVSS (v3 before v2), highest first, within each host."""
     score = F.coalesce("cvss3", "cvss", F.lit(0.0))

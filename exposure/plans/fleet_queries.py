@@ -542,10 +542,13 @@ def topk_rollup(p, by):
     return vulns.sort_rollup(vulns.vulnerability_rollup(p.findings), by).select("plugin_id", "plugin_name", "severity", "cvss3", "entries", "hosts")
 
 
-def entities(p, by):
+def counted_entities(p):
     rows = p.ports.groupBy(*KEY).agg(F.count(F.lit(1)).alias("port_rows"))
-    counted = scored(p).join(rows, KEY, "left").withColumn("port_rows", F.coalesce("port_rows", F.lit(0).cast("bigint")))
-    return topk.sort_entities(counted, by, 100).select(*KEY, "risk", "port_rows")
+    return scored(p).join(rows, KEY, "left").withColumn("port_rows", F.coalesce("port_rows", F.lit(0).cast("bigint")))
+
+
+def entities(p, by):
+    return topk.sort_entities(counted_entities(p), by, 100).select(*KEY, "risk", "port_rows")
 
 
 ENTITIES_SQL = """SELECT s.scan_id, s.ip, s.risk, coalesce(o.n, 0) AS port_rows

@@ -51,3 +51,8 @@ def opening_tag(value: Column, name: str) -> Column:
 
 def parse_xml(text: Column, schema: str) -> Column:
     return F.from_xml(text, schema, XML_OPTIONS)
+
+
+def parse_checked(text: Column, schema: str) -> Column:
+    """As :func:`parse_xml`, with the text itself in ``_broken`` if it is not well formed."""
+    return F.from_xml(text, f"{schema}, _broken string", {**XML_OPTIONS, "columnNameOfCorruptRecord": "_broken"})
