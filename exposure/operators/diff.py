@@ -94,15 +94,19 @@ def _change(df: DataFrame, kind, port, before, after) -> DataFrame:
     return df.select(*PAIR, "ip", kind.alias("type"), port.alias("port"), before.alias("from_value"), after.alias("to_value"))
 
 
-def port_changes(hosts: DataFrame, ports: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Ports opened or closed on hosts seen in both scans."""
-    both = host_sides(hosts, pairs).where(F.col("seen") == BOTH).select(*PAIR, "ip")
-    changed = port_presence(ports, pairs).where(F.col("seen") != BOTH).join(both, [*PAIR, "ip"], "left_semi")
+def _port_changes(sides: DataFrame, presence: DataFrame) -> DataFrame:
+    both = sides.where(F.col("seen") == BOTH).select(*PAIR, "ip")
+    changed = presence.where(F.col("seen") != BOTH).join(both, [*PAIR, "ip"], "left_semi")
     none = F.lit(None).cast("string")
     label = F.concat(F.col("port").cast("string"), F.lit("/"), F.col("proto"))
     return _change(changed, F.when(F.col("seen") == COMP, "port_added").otherwise("port_removed"), label, none, none)
 
 
+def port_changes(hosts: DataFrame, ports: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Ports opened or closed on hosts seen in both scans."""
+    return _port_changes(host_sides(hosts, pairs), port_presence(ports, pairs))
+
+
 def _os_changes(sides: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     changed = sides.where((F.col("seen") == BOTH) & (blank("base_os") != blank("comp_os")))
@@ -123,17 +127,19 @@ def status_changes(hosts: DataFrame, pairs: DataFrame) -> DataFrame:
     return _status_changes(host_sides(hosts, pairs))
 
 
+def log_of(sides: DataFrame, presence: DataFrame) -> DataFrame:
+    """The change log of hosts and open ports whose sides are known."""
+    return _port_changes(sides, presence).unionByName(_os_changes(sides)).unionByName(_status_changes(sides))
+
+
 def change_log(hosts: DataFrame, ports: DataFrame, pairs: DataFrame) -> DataFrame:
     """Every change on hosts seen in both scans: type, port, from and to."""
-    sides = host_sides(hosts, pairs)
-    return port_changes(hosts, ports, pairs).unionByName(_os_changes(sides)).unionByName(_status_changes(sides))
+    return log_of(host_sides(hosts, pairs), port_presence(ports, pairs))
 
 
-def host_diff(hosts: DataFrame, ports: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per pair and IP: ``new``, ``removed``, ``changed`` or ``unchanged``, with the number of changes."""
-    moved = (
-        port_presence(ports, pairs).where(F.col("seen") != BOTH).groupBy(*PAIR, "ip").agg(F.count(F.lit(1)).alias("port_changes"))
-    )
+def diff_of(sides: DataFrame, presence: DataFrame) -> DataFrame:
+    """Per pair and IP, of hosts and open ports whose sides are known: what became of the host, with the number of changes."""
+    moved = presence.where(F.col("seen") != BOTH).groupBy(*PAIR, "ip").agg(F.count(F.lit(1)).alias("port_changes"))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     number = lambda cond: F.when(cond, 1).otherwise(0)
     changes = (
@@ -141,13 +147,18 @@ def host_diff(hosts: DataFrame, ports: DataFrame, pairs: DataFrame) -> DataFrame
         + number(~F.col("base_status").eqNullSafe(F.col("comp_status")))
     )
     both = F.col("seen") == BOTH
-    return host_sides(hosts, pairs).join(moved, [*PAIR, "ip"], "left").select(
+    return sides.join(moved, [*PAIR, "ip"], "left").select(
         *PAIR, "ip",
         F.when(F.col("seen") == COMP, "new").when(F.col("seen") == BASE, "removed").when(changes > 0, "changed").otherwise("unchanged").alias("diff"),
         F.when(both, changes).otherwise(0).cast("bigint").alias("changes"),
     )
 
 
+def host_diff(hosts: DataFrame, ports: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per pair and IP: ``new``, ``removed``, ``changed`` or ``unchanged``, with the number of changes."""
+    return diff_of(host_sides(hosts, pairs), port_presence(ports, pairs))
+
+
 def diff_summary(hosts: DataFrame, ports: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per pair: new, removed, changed and unchanged hosts."""
     kinds = {"new": "new_hosts", "removed": "removed_hosts", "changed": "changed_hosts", "unchanged": "unchanged_hosts"}
