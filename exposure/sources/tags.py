@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from exposure import schemas
 from exposure.functions import columns as C
+from exposure.sources import objects
 
 
 def parse_documents(docs: DataFrame, column: str) -> DataFrame:
@@ -26,3 +27,8 @@ def parse_documents(docs: DataFrame, column: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, paths) -> DataFrame:
     return parse_documents(spark.read.text(paths, wholetext=True), "value")
+
+
+def read_split(spark: SparkSession, paths) -> DataFrame:
+    """As :func:`read_documents`, with files of any size cut at the ends of records."""
+    return parse_documents(objects.read_entries(spark, paths, "}"), "value")

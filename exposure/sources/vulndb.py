@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from exposure import schemas
+from exposure.sources import objects
 
 
 def _rows(df: DataFrame, cpe: Column, entries: Column) -> DataFrame:
@@ -25,10 +26,15 @@ def parse_documents(docs: DataFrame, column: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, paths) -> DataFrame:
-    """Files holding one JSON object each. A file is one task; split a large database into several."""
+    """Files holding one JSON object each. A file is one task; :func:`read_split` reads large ones by many."""
     return parse_documents(spark.read.text(paths, wholetext=True), "value")
 
 
+def read_split(spark: SparkSession, paths) -> DataFrame:
+    """As :func:`read_documents`, with files of any size cut at the ends of entries."""
+    return parse_documents(objects.read_entries(spark, paths, "]"), "value")
+
+
 def read_lines(spark: SparkSession, paths) -> DataFrame:
     """The splittable form: one entry per line, with its CPE and its place among the CPE's entries."""
     return spark.read.schema(schemas.VULN_DB_LINE).json(paths).withColumnRenamed("desc", "descr")
