@@ -28,9 +28,16 @@ from exposure.llm.tokens import PieceTable, pieces, vocabulary
 
 # Fixed value: the split of byte-level vocabularies of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longer words are gone over one by one.
+#: Longer words are cut into spans that are worked off side by side.
 WIDE = 48
+#: Least and greatest length of a span, the bytes before it that it is read with, and spans worked off at once.
+SPANS, LEAD, AT_ONCE = (256, 2048), 256, 256
+#: Fewer words or spans than this are gone over one by one.
+FEW = 24
 PAIR_BITS = 20
+SEEN_BITS = 18
+#: Pairs of tokens kept by the walk over single words.
+KNOWN_PAIRS = 1 << 18
 
 
 class PrefixCounter:
@@ -52,7 +59,18 @@ class PrefixCounter:
                 last = np.array([int.from_bytes(b[-8:], "little") if length > 8 else 0 for b, _ in own], np.uint64)
                 key = at.mix64(first + at.mix64(last))
                 order = np.argsort(key)
-                self.short[length] = key[order], np.stack([first[order], last[order]]), np.array([i for _, i in own], np.int64)[order]
+                seen = np.zeros(1 << SEEN_BITS, bool)
+                seen[(key >> np.uint64(64 - SEEN_BITS)).astype(np.int64)] = True
+                self.short[length] = key[order], np.stack([first[order], last[order]]), np.array([i for _, i in own], np.int64)[order], seen
+        self.tails: dict[bytes, list[int]] = {}  # lengths of tokens by their last two bytes, and of those over 16 by their last 16
+        for tail, over in ((2, 1), (16, 16)):
+            for b in words:
+                if len(b) > over:
+                    self.tails.setdefault(b[-tail:], []).append(len(b))
+        self.tails = {b: sorted(set(n), reverse=True) for b, n in self.tails.items()}
+        ends = np.array([[int.from_bytes(b[:8], "little"), int.from_bytes(b[8:], "little")] for b in self.tails if len(b) == 16], np.uint64).reshape(-1, 2)
+        self.tail_keys = np.sort(at.mix64(ends[:, 0] + at.mix64(ends[:, 1])))
+        self.known: dict[tuple[int, int], bool] = {}
         self.pair_key, self.pair_fits = np.zeros(1 << PAIR_BITS, np.uint64), np.zeros(1 << PAIR_BITS, bool)
         self.special = [s for s in self.vocabulary.special]
         self.split = regex.compile(SPLIT)
@@ -83,57 +101,134 @@ class PrefixCounter:
         """Ids of byte strings of one length up to 16, or -1."""
         if length not in self.short:
             return np.full(len(first), -1)
-        keys, parts, ids = self.short[length]
+        keys, parts, ids, seen = self.short[length]
         key = at.mix64(first + at.mix64(last))
-        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where((parts[0][place] == first) & (parts[1][place] == last), ids[place], -1)
+        out, held = np.full(len(first), -1), np.flatnonzero(seen[(key >> np.uint64(64 - SEEN_BITS)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(keys, key[held]), len(keys) - 1)
+        out[held] = np.where((parts[0][place] == first[held]) & (parts[1][place] == last[held]), ids[place], -1)
+        return out
+
+    def _fits_one(self, left: int, right: int) -> bool:
+        if (left, right) not in self.known:
+            if len(self.known) >= KNOWN_PAIRS:
+                self.known.clear()
+            self.known[left, right] = self._encodes_to(left, right)
+        return self.known[left, right]
+
+    def _step(self, word: bytes, i: int, last, count, lengths: list[int]) -> bool:
+        """Sets the last token and the count of the prefix of ``i`` bytes by the first length that fits."""
+        for length in lengths:
+            if length <= i:
+                token = self.ids.get(word[i - length : i])
+                if token is not None and self._fits_one(int(last[i - length]), token):
+                    last[i], count[i] = token, count[i - length] + 1
+                    return True
+        return False
+
+    def _walk(self, word: bytes, last, count, i: int) -> None:
+        self._step(word, i, last, count, [*self.tails.get(word[max(i - 2, 0) : i], ()), 1])
 
     def _one(self, word: bytes) -> np.ndarray:
-        last, count = [-1], [0]
+        last, count = [-1] * (len(word) + 1), [0] * (len(word) + 1)
         for i in range(1, len(word) + 1):
-            for length in range(min(i, self.longest), 0, -1):
-                token = self.ids.get(word[i - length : i])
-                if token is not None and self.fits(np.array([last[i - length]]), np.array([token]))[0]:
-                    last.append(token)
-                    count.append(count[i - length] + 1)
-                    break
+            self._walk(word, last, count, i)
         return np.array(count[1:], np.int32)
 
-    def words(self, found: list[bytes]) -> list[np.ndarray]:
-        """For each word the counts of its prefixes of 1, 2, ... bytes."""
-        out: list = [None] * len(found)
-        many = [k for k, w in enumerate(found) if len(w) <= WIDE]
-        for k in set(range(len(found))) - set(many):
-            out[k] = self._one(found[k])
-        if not many:
-            return out
-        sizes = np.array([len(found[k]) for k in many])
-        buf = np.frombuffer(b"\0" * 16 + b"".join(found[k] for k in many) + b"\0" * 16, np.uint8)
+    def _spans(self, word: bytes) -> np.ndarray:
+        """The counts of a long word from spans read with some bytes before them.
+
+        What follows a stretch as long as the longest token depends on nothing before it, so a span whose last tokens are
+        the word's over such a stretch, with counts that differ by one number, goes on as the word does. Where the bytes
+        before a span were too few for that, the word is walked on until they agree.
+        """
+        size = SPANS[0]
+        while size < SPANS[1] and size * 256 < len(word):
+            size *= 2
+        last, count = np.full(len(word) + 1, -1, np.int64), np.zeros(len(word) + 1, np.int32)
+        starts = range(0, len(word), size)
+        for group in range(0, len(starts), AT_ONCE):
+            own = starts[group : group + AT_ONCE]
+            spans = [word[max(s - LEAD, 0) : s + size] for s in own]
+            lasts, counts = self._side_by_side(spans)
+            for s, span, l, c in zip(own, spans, lasts, counts):
+                base, done = max(s - LEAD, 0), s
+                end = base + len(span)
+                l, c = l[: len(span) + 1], c[: len(span) + 1]
+                if s == 0:
+                    last[:end + 1], count[:end + 1] = l, c
+                    continue
+                low = max(s - self.longest + 1, base)
+                agreed = self._agreed(last[low : s + 1], count[low : s + 1], l[low - base : s - base + 1], c[low - base : s - base + 1])
+                while agreed < self.longest and done < end:
+                    done += 1
+                    self._walk(word, last, count, done)
+                    same = last[done] == l[done - base] and (agreed == 0 or count[done] - c[done - base] == count[done - 1] - c[done - 1 - base])
+                    agreed = agreed + 1 if same else int(last[done] == l[done - base])
+                last[done + 1 : end + 1] = l[done - base + 1 :]
+                count[done + 1 : end + 1] = c[done - base + 1 :] + (count[done] - c[done - base])
+        return count[1:]
+
+    @staticmethod
+    def _agreed(last: np.ndarray, count: np.ndarray, other: np.ndarray, other_count: np.ndarray) -> int:
+        """How many places at the end have the same last token and one difference of counts."""
+        apart = count - other_count
+        wrong = np.flatnonzero((last != other) | (apart != apart[-1]))
+        return len(last) - 1 - int(wrong[-1]) if len(wrong) else len(last)
+
+    def _ending(self, view: np.ndarray, size: int) -> np.ndarray:
+        """Ids of the tokens of each length up to 16 that end before each byte, or -1."""
+        out, end = np.full((17, size), -1, np.int32), np.arange(16, size - 15)
+        for length in range(1, 17):
+            first = view[end - length]
+            if length < 8:
+                first = first & np.uint64((1 << (8 * length)) - 1)
+            out[length, end] = self._tokens(first, view[end - 8] if length > 8 else np.zeros(len(end), np.uint64), length)
+        return out
+
+    def _side_by_side(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Last tokens and counts of all prefixes of all words, a byte of every word at a time."""
+        sizes = np.array([len(w) for w in found])
+        buf = np.frombuffer(b"\0" * 16 + b"".join(found) + b"\0" * 16, np.uint8)
         begin = 16 + np.cumsum(sizes) - sizes
         view = at.words_view(buf)
+        ending = self._ending(view, len(buf))
         top = int(sizes.max())
-        last, count = np.full((len(many), top + 1), -1, np.int64), np.zeros((len(many), top + 1), np.int32)
+        last, count = np.full((len(found), top + 1), -1, np.int64), np.zeros((len(found), top + 1), np.int32)
         for i in range(1, top + 1):
             todo = np.flatnonzero(sizes >= i)
             end = begin[todo] + i
-            for length in range(min(i, self.longest), 0, -1):
-                if length > 16:
-                    token = np.array([self.ids.get(buf[e - length : e].tobytes(), -1) for e in end.tolist()])
-                else:
-                    start = end - length
-                    first = view[start]
-                    if length < 8:
-                        first = first & np.uint64((1 << (8 * length)) - 1)
-                    token = self._tokens(first, view[end - 8] if length > 8 else np.zeros(len(end), np.uint64), length)
+            if i > 16 and len(self.tail_keys):
+                key = at.mix64(view[end - 16] + at.mix64(view[end - 8]))
+                held = np.flatnonzero(self.tail_keys[np.minimum(np.searchsorted(self.tail_keys, key), len(self.tail_keys) - 1)] == key)
+                done = [n for n in held.tolist() if self._step(found[todo[n]], i, last[todo[n]], count[todo[n]], self.tails.get(buf[end[n] - 16 : end[n]].tobytes(), ()))]
+                if done:
+                    todo, end = np.delete(todo, done), np.delete(end, done)
+            for length in range(min(i, self.longest, 16), 0, -1):
+                if not len(todo):
+                    break
+                token = ending[length, end]
                 good = token >= 0
+                if not good.any():
+                    continue
                 good[good] = self.fits(last[todo[good], i - length], token[good])
                 row = todo[good]
                 last[row, i], count[row, i] = token[good], count[row, i - length] + 1
                 todo, end = todo[~good], end[~good]
-                if not len(todo):
-                    break
-        for k, row, n in zip(many, count, sizes.tolist()):
-            out[k] = row[1 : n + 1]
+        return last, count
+
+    def words(self, found: list[bytes]) -> list[np.ndarray]:
+        """For each word the counts of its prefixes of 1, 2, ... bytes."""
+        out: list = [None] * len(found)
+        many = [k for k, w in enumerate(found) if len(w) <= WIDE]
+        for k in set(range(len(found))) - set(many):
+            out[k] = self._spans(found[k]) if len(found[k]) > FEW * SPANS[0] else self._one(found[k])
+        if len(many) < FEW:
+            for k in many:
+                out[k] = self._one(found[k])
+            return out
+        _, counts = self._side_by_side([found[k] for k in many])
+        for k, row in zip(many, counts):
+            out[k] = row[1 : len(found[k]) + 1]
         return out
 
     def piece_parts(self, text: str) -> list[tuple[str, bytes]]:

@@ -82,6 +82,17 @@ def test_prefix_counts_equal_those_of_encoded_prefixes(parts):
     assert found == want
 
 
+@pytest.mark.parametrize("unit", ["a", "abc", "-", "=-", "thequickbrownfox", "日本語", None])
+def test_long_words_in_spans_equal_the_walk_and_the_library(unit):
+    counter, tokenizer = prefix_counts.prefix_table(BYTE).make.__self__, tokens.vocabulary(BYTE).tokenizer
+    rng = random.Random(3)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9000)) if unit is None else (unit * 9000)[:9000]
+    found = counter._spans(word.encode())
+    assert np.array_equal(found, counter._one(word.encode()))
+    for cut in (1, 255, 256, 257, 2049, 6500, 9000):
+        assert found[len(word[:cut].encode()) - 1] == len(tokenizer.encode(word[:cut], add_special_tokens=False).ids)
+
+
 def test_token_counts_limits_and_stored_prefixes(docs_of, pairs):
     tokenizer = Tokenizer.from_file(BYTE)
     rows = {(r.doc_id): r for r in prefix_counts.counted(docs_of(pairs), BYTE, limit=20).collect()}
