@@ -17,7 +17,7 @@ documents in ascending order:
     supers, ranks            set bits before each 512 bits (32-bit), and before each word within them (16-bit)
 
 Empty and null texts give a document of the end id alone. Rows that repeat a doc_id are kept as documents of their own,
-in the order of their texts. An empty table gives a table without blocks. Columns beside ``id_col`` and ``text_col`` are
+in the order of a hash of their texts, and spread over shards by it. An empty table gives a table without blocks. Columns beside ``id_col`` and ``text_col`` are
 not read.
 """
 
@@ -134,8 +134,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
                 yield pa.RecordBatch.from_pylist([row | Codes.of(ids, widths).row()], schema=ARROW)
                 block += 1
 
-    keyed = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    ordered = keyed.repartitionByRange("k").sortWithinPartitions("k", "t")
+    keyed = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
+    # Rows of one id, or without one, are spread over tasks by their texts.
+    ordered = keyed.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
     ordered.mapInArrow(blocks, SCHEMA).write.parquet(path)
 
 

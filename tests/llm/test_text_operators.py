@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from exposure.llm import arrow_text as at
@@ -105,6 +106,19 @@ def test_token_counts_limits_and_stored_prefixes(docs_of, pairs):
         assert len(stored[i]) == r.n_bytes and (not r.n_bytes or stored[i][-1] == n)
 
 
+def test_documents_without_an_id_are_spread_over_shards(spark, docs_of, tmp_path):
+    path = str(tmp_path / "codes")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tables of this size would be one partition
+    try:
+        dac.write(docs_of([(None if n % 3 else n, f"text {n}") for n in range(1200)]).repartition(8), path, BYTE, end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n for r in spark.read.parquet(path).groupBy("shard").agg(F.sum(F.length("doc_nulls")).alias("n")).collect()]
+    assert sum(sizes) == 1200 and max(sizes) <= 600
+    found = sorted(dac.documents_at(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None] * 800 + list(range(0, 1200, 3))
+
+
 def test_codes_give_any_token_back():
     rng = np.random.default_rng(1)
     for top in (200, 60_000, 70_000):
