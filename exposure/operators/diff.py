@@ -55,7 +55,8 @@ def _sides(df: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
 
     Pairs become one row per scan and side, so the facts are read once. Few pairs are
     broadcast; more of them are joined by scan and a salt of the IP, never by scan alone,
-    which would gather a scan's rows in one task.
+    which would gather a scan's rows in one task, and by sorting, as the salts make them
+    many more rows than Spark takes them for.
     """
     side = lambda key, value: F.struct(F.col(key).alias("of_scan"), F.lit(value).alias("side"))
     sides = pairs.select(*PAIR, F.explode(F.array(side("base_id", BASE), side("comp_id", COMP))).alias("s")).select(*PAIR, "s.*")
@@ -63,7 +64,7 @@ def _sides(df: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
     if is_small(sides):
         return df.join(F.broadcast(sides), same_scan).select(*PAIR, *columns, "side")
     salted = sides.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.join(salted, same_scan & (F.pmod(F.xxhash64(df["ip"]), F.lit(SALTS)) == F.col("salt"))).select(*PAIR, *columns, "side")
+    return df.join(salted.hint("merge"), same_scan & (F.pmod(F.xxhash64(df["ip"]), F.lit(SALTS)) == F.col("salt"))).select(*PAIR, *columns, "side")
 
 
 def host_sides(hosts: DataFrame, pairs: DataFrame) -> DataFrame:

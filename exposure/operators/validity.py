@@ -126,17 +126,18 @@ def covering(runs: DataFrame, points: DataFrame, on: list[str] | None = None) ->
     """Rows of ``runs`` and ``points`` where the run covers the point's ``place`` and ``on`` agrees.
 
     With ``on`` the join is spread by those columns too. Without, few points are broadcast; more of them meet the runs by
-    segment and a salt of the IP, never by segment alone, which would gather all steady keys in one task.
+    segment and a salt of the IP, never by segment alone, which would gather all steady keys in one task. Both sides hold
+    many more rows than the files they come from, by whose size Spark would broadcast them, so they are joined by sorting.
     """
     asked = points.withColumn("level", F.explode(F.sequence(F.lit(0), _levels(runs)))).withColumn("node", F.expr("shiftright(place, level)"))
     cut = _segments(runs).drop("first_place", "last_place")
     if on:
-        return cut.join(asked, [*on, "level", "node"]).drop("level", "node")
-    if is_small(points):
+        return cut.join(asked.hint("merge"), [*on, "level", "node"]).drop("level", "node")
+    if is_small(asked):
         return cut.join(F.broadcast(asked), ["level", "node"]).drop("level", "node")
     salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(diff.SALTS - 1))))
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("ip"), F.lit(diff.SALTS)).cast("int"))
-    return cut.join(salted, ["level", "node", "salt"]).drop("level", "node", "salt")
+    return cut.join(salted.hint("merge"), ["level", "node", "salt"]).drop("level", "node", "salt")
 
 
 def _points(validity: Validity, pairs: DataFrame) -> DataFrame:

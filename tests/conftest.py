@@ -33,6 +33,18 @@ def rows(spark):
     return build
 
 
+@pytest.fixture
+def plan_of(capsys):
+    """The physical plan of a DataFrame as text."""
+
+    def text(df):
+        capsys.readouterr()
+        df.explain()
+        return capsys.readouterr().out
+
+    return text
+
+
 HOST = "scan_id int, ip string, mac string, hostname string, status string, os_name string, os_accuracy int"
 PORT = "scan_id int, ip string, port int, proto string, state string, svc string, product string, version string, cpe string"
 FINDING = (

@@ -94,3 +94,12 @@ def test_empty_and_untimed(rows):
     assert validity.log_between(v, rows([], "base_id int, comp_id int")).count() == 0
     untimed = validity.scan_places(rows([{"scan_id": 1}, {"scan_id": 2, "started_at": DAY}], RUN))
     assert [tuple(r) for r in untimed.collect()] == [(2, 1)]
+
+
+def test_cut_runs_are_joined_by_sorting(rows, spark, tmp_path, plan_of):
+    """Small files hold many runs, and each run and border stands once for each level, so neither side may be broadcast."""
+    runs, hosts, ports = tables(rows, 4, 12)
+    validity.write(validity.build(runs, hosts, ports), str(tmp_path / "v"))
+    v = validity.load(spark, str(tmp_path / "v"))
+    covered = validity.covering(v.states, validity._borders(v.ports, validity._last(v)), ["ip"])
+    assert "SortMergeJoin" in plan_of(covered) and "BroadcastHashJoin" not in plan_of(covered)
