@@ -28,7 +28,8 @@ def cpe_pairs(cpes: DataFrame, vuln_db: DataFrame, mode: str = "normalized") ->
     ``literal`` tests whether the database CPE starts with the first five ``:`` parts
     of the port CPE, as text, so ``prod1`` reaches ``prod10``. Each database CPE is cut to every length that such a prefix has in the data (few:
     names are short) and the prefixes are met by equality, so the rows that meet are the matches, however many CPEs a
-    vendor has. ``normalized`` writes 2.2 CPEs in 2.3 form and requires
+    vendor has. Cut, the database is far larger than the file whose size Spark goes by, so it is joined by sorting and never
+    broadcast. ``normalized`` writes 2.2 CPEs in 2.3 form and requires
     the same part, vendor and product.
 
     Both sides are distinct CPEs, so the pairing does not grow with the ports.
@@ -39,7 +40,7 @@ def cpe_pairs(cpes: DataFrame, vuln_db: DataFrame, mode: str = "normalized") ->
         left = cpes.select("cpe", C.cpe_base(F.col("cpe")).alias("base"))
         lengths = left.agg(F.collect_set(F.length("base"))).scalar()
         cut = db.select("db_cpe", lengths.alias("lengths")).select("db_cpe", F.explode("lengths").alias("n")).where("n <= length(db_cpe)")
-        joined = left.join(cut.select("db_cpe", F.expr("substring(db_cpe, 1, n)").alias("base")), "base")
+        joined = left.join(cut.select("db_cpe", F.expr("substring(db_cpe, 1, n)").alias("base")).hint("merge"), "base")
         kind = F.when(F.col("cpe") == F.col("db_cpe"), "exact").otherwise("prefix")
     elif mode == "normalized":
         product = lambda c: C.cpe_base(C.cpe_23(F.col(c)))

@@ -159,3 +159,13 @@ def test_counting_cves_meets_classes_and_not_cves(rows):
     assert sorted((r.stem, r["class"], r.cves) for r in vulns.class_products(db).collect()) == [("cpe:2.3:a:big:p", "CVE-0", 1999), ("cpe:2.3:a:big:p", "CVE-7", 1), ("cpe:2.3:a:big:q", "CVE-7", 1)]
     ports = rows([{"scan_id": 1, "ip": f"h{i}", "port": 80, "proto": "tcp", "state": "open", "cpe": c} for i in range(3) for c in ("cpe:/a:big:p:1", "cpe:/a:big:q:2")], PORT)
     assert {r.cves for r in vulns.count_cves(ports, db).collect()} == {2000}
+
+
+def test_literal_prefixes_are_joined_by_sorting(spark, rows, tmp_path, plan_of):
+    """The database cut to all lengths is many times its file, by whose size it would be broadcast."""
+    for name, data, schema in (("cpes", [{"cpe": c} for c in CPES], "cpe string"), ("db", [{"cpe": c, "ord": 0, "cve": v} for c, vs in DB for v in vs], VULN)):
+        rows(data, schema).write.parquet(str(tmp_path / name))
+    cpes, db = (spark.read.parquet(str(tmp_path / n)) for n in ("cpes", "db"))
+    pairs = vulns.cpe_pairs(cpes, db, "literal")
+    assert "SortMergeJoin" in plan_of(pairs) and "BroadcastHashJoin" not in plan_of(pairs)
+    assert {tuple(r) for r in pairs.select("cpe", "db_cpe").collect()} == {(c, k) for c in CPES for k, _ in DB if related(c, k, "literal") is not None}
