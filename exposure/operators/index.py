@@ -35,6 +35,8 @@ from exposure.operators.vulns import cve_classes, open_products
 KEY = C.HOST_KEY
 #: Keys of a term that become literal filters.
 LISTED = 200
+#: Hosts that a row has at most while blocks are dealt to tasks.
+PIECE = 8
 TABLES = ("blocks", "terms", "grams", "gram_counts", "texts")
 
 FIELD_KINDS = {
@@ -83,9 +85,22 @@ def entries(inv: Inventory, texts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where(F.col("key").isNotNull())
 
 
+def in_key_order(lists: DataFrame) -> DataFrame:
+    """(kind, key, block, hosts) in ranges of about the same size.
+
+    Spark draws ranges by rows, and a list has one host or thousands: those of popular keys lie side by side and would come to one
+    task. So lists travel in pieces of at most ``PIECE`` hosts, which are put together where they arrive.
+    """
+    keys = ["kind", "key", "block"]
+    pieces = F.expr(f"explode(transform(sequence(0, (size(hosts) - 1) DIV {PIECE}), i -> struct(i AS i, slice(hosts, int(i) * {PIECE} + 1, {PIECE}) AS part)))")
+    dealt = lists.select(*keys, pieces.alias("p")).select(*keys, "p.*").repartitionByRange(*keys)
+    whole = dealt.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "part"))).alias("parts"))
+    return whole.select(*keys, F.flatten("parts.part").alias("hosts"))
+
+
 def to_blocks(rows: DataFrame) -> DataFrame:
-    """Postings in blocks from (kind, key, block, scan_id, ip). A list has the hosts of one block, not of a key."""
-    lists = rows.groupBy("kind", "key", "block").agg(F.array_sort(F.collect_set(F.struct(*KEY))).alias("hosts"))
+    """Postings in blocks from (kind, key, block, scan_id, ip), in ranges of them. A list has the hosts of one block, not of a key."""
+    lists = in_key_order(rows.groupBy("kind", "key", "block").agg(F.array_sort(F.collect_set(F.struct(*KEY))).alias("hosts")))
     return lists.select("kind", "key", "block", F.size("hosts").cast("bigint").alias("n"), F.get("hosts", F.lit(0)).alias("first"), F.element_at("hosts", -1).alias("last"), "hosts")
 
 
@@ -112,13 +127,23 @@ def to_grams(terms: DataFrame) -> DataFrame:
 
 
 def build(inv: Inventory, path: str, per_block: int = 4096) -> SearchIndex:
-    """Writes the index of ``inv`` below ``path``, which all executors must reach."""
+    """Writes the index of ``inv`` below ``path``, which all executors must reach.
+
+    Hosts and ports are read several times and may be long plans, so they are written there first.
+    """
     spark = inv.hosts.sparkSession
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{path}/read/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/read/{name}")
+
+    inv = inv.with_tables(hosts=kept("hosts", inv.hosts), ports=kept("ports", inv.ports))
     blocks = max(1, -(-inv.hosts.count() // per_block))
     placed = lambda df: df.withColumn("block", F.pmod(F.xxhash64(*KEY), F.lit(blocks)).cast("int"))
 
     def write(name: str, df: DataFrame, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
-        df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(*by).parquet(f"{path}/{name}")
+        dealt = df if name == "blocks" else df.repartitionByRange(*order)
+        dealt.sortWithinPartitions(*order).write.partitionBy(*by).parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
     texts = write("texts", placed(scan.search_text(inv.hosts, inv)).select("block", *KEY, "search_text"), "block", *KEY)

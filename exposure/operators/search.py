@@ -113,7 +113,8 @@ def search_text(hosts: DataFrame, inv: Inventory) -> DataFrame:
     """Hosts with ``search_text``: IP, host name, open ports with service and product, OS.
 
     Ports are distinct per host and number at most 65,536 per protocol, so the
-    collected list is bounded.
+    collected list is bounded. The lists of all hosts are far larger than the files
+    of the ports, by whose size Spark would broadcast them, and are joined by sorting.
     """
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     ports = _open(inv).groupBy(*KEY).agg(
@@ -124,7 +125,7 @@ def search_text(hosts: DataFrame, inv: Inventory) -> DataFrame:
             ), " ",
         ).alias("port_text")
     )
-    joined = hosts.join(ports, KEY, "left")
+    joined = hosts.join(ports.hint("merge"), KEY, "left")
     text = F.lower(F.concat_ws(" ", F.col("ip"), blank("hostname"), blank("port_text"), blank("os_name")))
     return joined.select(*[F.col(c) for c in hosts.columns], text.alias("search_text"))
 

@@ -111,3 +111,22 @@ def test_a_cve_stands_for_products(built):
     """No posting of a host and a CVE that only the database knows."""
     assert index.resolve(built, "cve", "cve-2024-11").listed == [("cpe", "cpe:2.3:a:openbsd:ssh")]
     assert built.blocks.where("kind = 'cve' AND key = 'cve-2024-11'").count() == 0
+
+
+def test_blocks_of_popular_keys_are_dealt_to_many_tasks(spark):
+    """Ranges are drawn by size, not by blocks: here 20 blocks side by side have most of the hosts."""
+    popular = spark.range(20 * 400).selectExpr("'port' AS kind", "'22' AS key", "int(id % 20) AS block", "struct(int(id % 3) AS scan_id, lpad(id, 6, '0') AS ip) AS h")
+    others = spark.range(500).selectExpr("'ip' AS kind", "lpad(id, 6, '0') AS key", "int(id % 20) AS block", "struct(1 AS scan_id, lpad(id, 6, '0') AS ip) AS h")
+    lists = popular.unionByName(others).groupBy("kind", "key", "block").agg(F.array_sort(F.collect_set("h")).alias("hosts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = index.in_key_order(lists)
+        sizes = [r.n for r in dealt.groupBy(F.spark_partition_id()).agg(F.sum(F.size("hosts")).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 8500 and max(sizes) < 5000
+    assert same_lists(dealt, lists)
+
+
+def same_lists(a, b):
+    return sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
