@@ -61,7 +61,7 @@ def _best_per_cpe(cpes: DataFrame, vuln_db: DataFrame, mode: str) -> DataFrame:
     db = vuln_db.where(F.col("cve").isNotNull()).select(F.col("cpe").alias("db_cpe"), "ord", "cve", "cvss", "descr")
     rank = (F.col("match") != "exact").alias("rank")
     return (
-        cpe_pairs(cpes, vuln_db, mode).join(db, "db_cpe")
+        cpe_pairs(cpes, vuln_db, mode).join(db.hint("merge"), "db_cpe")
         .groupBy("cpe", "cve").agg(F.min(F.struct(rank, "db_cpe", "ord", "cvss", "descr")).alias("hit"))
     )
 
