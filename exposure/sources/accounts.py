@@ -39,7 +39,7 @@ def checked(records: DataFrame, scanner: str, xml: Column | None = None) -> Data
     name, schema, _ = REPORTS[scanner]
     if xml is None:
         records, xml = records.where(E.has_element(F.col("value"), name)), E.element(F.col("value"), name)
-    parsed = records.select(*PLACE, xml.alias("text")).withColumn("h", E.parse_checked(F.col("text"), schema))
+    parsed = records.select(*PLACE, xml.alias("text")).select("*", E.once(E.parse_checked(F.col("text"), schema)).alias("h"))
     broken = F.col("h").isNull() | F.col("h._broken").isNotNull()
     reason = F.when(broken, "malformed").when(F.col("ip").isNull(), "no address")
     return parsed.withColumn("ip", _address(scanner)).withColumn("reason", reason)

@@ -10,7 +10,7 @@ from conftest import HOST, PORT, VULN
 from exposure.functions import scripts as S
 from exposure.operators import scripts as script_ops
 from exposure.sinks import exports
-from exposure.sources import detect, nessus, nmap, tags, vulndb
+from exposure.sources import accounts, detect, nessus, nmap, tags, vulndb
 from pyspark.sql import functions as F
 
 HOST_A = """<host starttime="1" endtime="2"><status state="up" reason="arp"/>
@@ -221,3 +221,12 @@ def test_script_rules(spark):
     found = sorted((r.type, r.detail, r.severity or "") for r in script_ops.script_findings(df).collect())
     assert found == [("ftp", "Anonymous FTP!", "high"), ("ftp", "ftp-anon", "info"), ("http", "Hello", "")]
     assert set(S.PARSERS) == {"ssl-cert", "http-title", "http-server-header", "smb-os-discovery", "ssh-hostkey", "ftp-anon", "ms-sql-info", "mysql-info"}
+
+
+def test_elements_are_parsed_once(spark, plan_of):
+    """Conditions and columns read the parsed element, not the parser."""
+    records = spark.range(2).selectExpr("'r' AS scan_id", "id AS host_ord", "concat('<host><address addr=\"10.0.0.', id, '\" addrtype=\"ipv4\"/><ports><port portid=\"22\"/></ports></host>') AS xml")
+    named = spark.range(2).selectExpr("'r' AS scan_id", "id AS host_ord", "concat('<ReportHost name=\"10.0.0.', id, '\"/>') AS xml")
+    for table in (nmap.ports(nmap.parse(records, F.col("xml"))), nessus.hosts(nessus.parse(named, F.col("xml"))), accounts.accepted(accounts.checked(records, "nmap", F.col("xml")))):
+        assert plan_of(table).count("from_xml(") == 1
+        assert sorted(r.ip for r in table.collect()) == ["10.0.0.0", "10.0.0.1"]
