@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col:
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) if k == "ids" else pa.array(c, pa.int64()) for k, c in zip(names, columns)], names)
 
     schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names)
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(at.lean(cut), schema)
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(at.lean(cut, tables=True), schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -57,8 +57,8 @@ class Rolling:
     _up, _down = _powers(_FACTOR, 1 << 12), _powers(_INVERSE, 1 << 12)
 
     def __init__(self, buf: np.ndarray):
-        if len(buf) >= len(self._up):
-            Rolling._up, Rolling._down = _powers(_FACTOR, 2 * len(buf)), _powers(_INVERSE, 2 * len(buf))
+        if len(buf) >= len(self._up):  # of this buffer only: a worker that kept them would hold 16 bytes for each of the longest one
+            self._up, self._down = _powers(_FACTOR, len(buf)), _powers(_INVERSE, len(buf))
         self.sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(self._table[buf] * self._up[: len(buf)], out=self.sums[1:])
 

@@ -372,3 +372,21 @@ def test_texts_of_one_id_and_equal_crc32_are_different_texts(spark, docs_of):
     docs = docs_of([(None, linked), (None, forged), (1, "z" * 30 + passage)])
     removed = {r.n_bytes: r.n_removed for r in suffixes.deduplicate(docs, keep="none").collect()}
     assert removed == {len(linked): 260, len(forged): 0, 290: 260}
+
+
+def test_kept_tables_go_before_other_operators_run():
+    path = vocabulary("word_bpe_49k.json")
+    texts = pa.RecordBatch.from_arrays([pa.array(["some words here"])], ["text"])
+    encode = lambda batches: (b for b in batches if len(tokens.id_table(path).values(*at.buffer_of(at.text_column(b.column(0))))[0]))
+    assert list(at.lean(encode, tables=True)([texts])) == [texts]
+    assert list(at.lean(encode, tables=True)([texts])) == [texts]
+    assert tokens.id_table.cache_info().currsize == 1 and tokens.id_table.cache_info().hits
+    assert list(at.lean(iter)([texts])) == [texts]
+    assert tokens.id_table.cache_info().currsize == tokens.vocabulary.cache_info().currsize == 0
+
+
+def test_powers_of_long_buffers_are_not_kept():
+    buf = np.random.default_rng(1).integers(97, 100, 9000, np.uint8)
+    long = suffixes.Rolling(buf).all(40)
+    assert len(suffixes.Rolling._up) < len(buf)
+    assert (long[:100] == suffixes.Rolling(buf[:139]).all(40)).all()
