@@ -264,43 +264,39 @@ def partial_matches(docs: DataFrame, classes: DataFrame, later: bool) -> DataFra
     return sorted_.union(crowded.select(*KEY, F.col("j").cast("long").alias("first"), F.col("j").cast("long").alias("last")))
 
 
+#: What a range of ``repeated`` says: these bytes go; a whole context that goes unless it is exempt; that one is exempt.
+PART, WHOLE, EXEMPT = 0, 1, 2
+
+
 def repeated(docs: DataFrame, keep: str) -> DataFrame:
-    """Byte ranges to remove (they may overlap): doc_id, crc, lo, hi, exempt. ``docs`` as ``keyed`` gives it.
+    """Byte ranges of texts (they may overlap): doc_id, crc, lo, hi, kind. ``docs`` as ``keyed`` gives it.
 
-    Where all contexts of an anchor are alike, which holds inside of copies, the sums of the anchor say all about them and
-    their rows need no further join; the first of them is returned once more as ``exempt`` if it is to be kept."""
+    Every context whose anchor occurs again is returned as a whole, from its own row and without a join by its contents, so copies that all
+    texts share cost what other contexts do. One context stands for each class of equal ones. It is returned once more as exempt if it is
+    kept, that is if it is the first (``keep="first"``) or the only one (``keep="none"``), and what of it occurs in other classes as parts."""
     found = stored(anchors(docs), "anchors")
-    one = lambda c: F.min(c) == F.max(c)
-    again = found.groupBy("gram").agg(F.count("*").alias("n"), (one("context") & one("lead") & one("reach")).alias("alike"))
-    found = stored(found.join(again.where("n > 1").drop("n"), "gram"), "repeated")
-    classes = found.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("alike").alias("alike"), F.min(F.struct("doc_id", "crc", "start")).alias("place"))
-    classes = stored(classes.select(*KEY, "n", "alike", "place.*"), "classes")
-    parts = partial_matches(docs, classes.drop("alike"), later=keep == "none")
-    row = lambda df, exempt=False: df.select("doc_id", "crc", "start", F.lit(0).cast("long").alias("first"), F.col("reach").cast("long").alias("last"), F.lit(exempt).alias("exempt"))
-    part = lambda df: df.select("doc_id", "crc", "start", "first", "last", F.lit(False).alias("exempt"))
-    alike, differing = found.where("alike"), found.where("not alike")
-    several = classes.where("n > 1 and not alike")
-    if keep == "none":
-        whole = several.select(*KEY, F.lit(0).cast("long").alias("first"), F.col("reach").cast("long").alias("last"))
-        ranges = part(differing.join(parts.union(whole), KEY)).union(row(alike))
-    else:
-        place = F.struct("doc_id", "crc", "start")
-        later = differing.join(several.select(*KEY, place.alias("place")), KEY).where(~place.eqNullSafe(F.col("place")))
-        ranges = part(parts.join(classes, KEY)).union(row(later)).union(row(alike)).union(row(classes.where("alike"), exempt=True))
-    return ranges.select("doc_id", "crc", (F.col("start") + F.col("first")).alias("lo"), (F.col("start") + F.col("last") + LENGTH).alias("hi"), "exempt")
+    again = stored(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "again")  # so that the join below may split a frequent anchor
+    found = stored(found.join(again, "gram", "left_semi"), "repeated")
+    classes = found.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "crc", "start")).alias("place"))
+    classes = stored(classes.select(*KEY, "n", "place.*"), "classes")
+    parts = partial_matches(docs, classes, later=keep == "none")
+    kept = classes.where("n = 1") if keep == "none" else classes
+    bounds = lambda df, first, last, kind: df.select("doc_id", "crc", (F.col("start") + first).alias("lo"), (F.col("start") + last + LENGTH).alias("hi"), F.lit(kind).alias("kind"))
+    whole = lambda df, kind: bounds(df, F.lit(0), F.col("reach"), kind)
+    return bounds(parts.join(kept, KEY), F.col("first"), F.col("last"), PART).union(whole(found, WHOLE)).union(whole(kept, EXEMPT))
 
 
 def text_ranges(ranges: DataFrame) -> DataFrame:
     """doc_id, crc and ``ranges``, all of a text."""
-    return ranges.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("lo", "hi", "exempt")).alias("ranges"))
+    return ranges.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("lo", "hi", "kind")).alias("ranges"))
 
 
 def removed(found) -> tuple[np.ndarray, np.ndarray]:
-    """What goes of a text, from the structs of ``text_ranges`` or None. A range is known by where it begins."""
+    """What goes of a text, from the structs of ``text_ranges`` or None. Contexts of a text begin at different places, by which an exempt one is known."""
     if found is None or not len(found):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lo, hi, exempt = (found.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi", "exempt"))
-    goes = ~np.isin(lo, lo[exempt])
+    lo, hi, kind = (found.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi", "kind"))
+    goes = (kind == PART) | ((kind == WHOLE) & ~np.isin(lo, lo[kind == EXEMPT]))
     return merged(lo[goes], hi[goes])
 
 

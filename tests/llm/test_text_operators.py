@@ -390,3 +390,29 @@ def test_powers_of_long_buffers_are_not_kept():
     long = suffixes.Rolling(buf).all(40)
     assert len(suffixes.Rolling._up) < len(buf)
     assert (long[:100] == suffixes.Rolling(buf[:139]).all(40)).all()
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_equal_contexts_meet_no_join(spark, docs_of, plan_of, keep):
+    """A passage that many texts share, cut off at different places: its contexts are told by sums, and no join hands them on one by one."""
+    rng = random.Random(11)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = prose(900)
+    pairs = [(i, prose(40) + passage[i % 7 * 30 : 900 - i % 5 * 40] + prose(40)) for i in range(60)]
+    docs = docs_of(pairs)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        lines = plan_of(suffixes.repeated(suffixes.keyed(docs, "doc_id", "text"), keep)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*("))
+    scans = [k for k, line in enumerate(lines) if "/repeated-" in line]
+    assert scans
+    for k in scans:
+        deep = depth(lines[k])
+        for line in reversed(lines[:k]):
+            if depth(line) < deep:
+                deep = depth(line)
+                assert "Join" not in line, line
+    rows = suffixes.deduplicate(docs, keep=keep).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute.repeated_bytes(pairs, keep=keep)
