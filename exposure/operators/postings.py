@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from exposure.functions import columns as C
 from exposure.inventory import Inventory
@@ -19,43 +20,60 @@ from exposure.operators.vulns import class_products, cve_classes, match_cves, op
 KEY = C.HOST_KEY
 
 
+def _host_keys(rows: DataFrame, **kinds: Column) -> DataFrame:
+    """(scan, kind, key, ip) of rows, each once: a column of keys, or of arrays of keys, per kind.
+
+    The keys of a host are gathered in sets, and its postings are made from these. A distinct over all postings would hold them
+    in the memory of the tasks that make them, many times what the rows take.
+    """
+    sets = rows.groupBy(*KEY).agg(*[F.collect_set(values).alias(kind) for kind, values in kinds.items()])
+    keys = lambda kind: F.array_distinct(F.flatten(kind)) if isinstance(sets.schema[kind].dataType.elementType, ArrayType) else F.col(kind)
+    named = lambda kind: F.transform(keys(kind), lambda key: F.struct(F.lit(kind).alias("kind"), key.alias("key")))
+    tagged = F.concat(*[named(kind) for kind in kinds])
+    return sets.select(*KEY, F.explode(tagged).alias("k")).select("scan_id", "k.kind", "k.key", "ip").where("key <> ''")
+
+
+def _known(values: str) -> Column:
+    """An array without its nulls."""
+    return F.filter(values, lambda value: value.isNotNull())
+
+
 def postings(inv: Inventory) -> DataFrame:
     """Distinct (scan, kind, key, ip) of up hosts; ports, services and products of open ports.
 
     CVEs matched by CPE are already one row per host, and they are by far the most rows.
     Only those whose CVE also occurs in findings are deduplicated against them.
     """
-    rows = lambda df, kind, key: df.select("scan_id", F.lit(kind).alias("kind"), key.alias("key"), "ip")
     hosts = inv.hosts.where(F.col("status") == "up")
     up = hosts.select(*KEY)
     opened = inv.ports.where(F.col("state") == "open").join(up, KEY, "left_semi")
-    kinds = F.array(
-        F.struct(F.lit("port").alias("kind"), F.col("port").cast("string").alias("key")),
-        F.struct(F.lit("service").alias("kind"), F.lower("svc").alias("key")),
-        F.struct(F.lit("product").alias("kind"), F.lower("product").alias("key")),
-    )
-    exploded = opened.select("scan_id", "ip", F.explode(kinds).alias("k")).select("scan_id", "k.kind", "k.key", "ip")
-    words = F.filter(F.split(F.lower("os_name"), r"\s+"), lambda w: F.length(w) > 2)
-    parts = [exploded, rows(hosts.withColumn("word", F.explode(words)), "os", F.col("word"))]
-    if inv.tags is not None:
-        parts.append(rows(with_tags(hosts, inv.tags).withColumn("label", F.explode("labels")), "tag", F.col("label")))
+    os_words = F.filter(F.split(F.lower("os_name"), r"\s+"), lambda w: F.length(w) > 2)
+    if inv.tags is None:
+        of_hosts = _host_keys(hosts, os=os_words)
+    else:
+        of_hosts = _host_keys(with_tags(hosts, inv.tags), os=os_words, tag=_known("labels"))
+    none = F.lit(None).cast("array<string>").alias("cves")
+    several = [opened.select(*KEY, F.lower("product").alias("product"), none)]
     matched = None
     if inv.findings is not None:
         findings = inv.findings.join(up, KEY, "left_semi")
-        reported = rows(findings.withColumn("cve", F.explode("cves")), "cve", F.lower("cve"))
-        parts += [reported, rows(findings, "product", F.lower("plugin_name"))]
+        several.append(findings.select(*KEY, F.lower("plugin_name").alias("product"), F.transform(_known("cves"), F.lower).alias("cves")))
     if inv.vuln_db is not None:
         # A CVE is matched on its own, so the catalogue is divided before it meets the hosts and each part is matched once.
         catalogue = inv.vuln_db.withColumn("lower_cve", F.lower("cve")).where("cve <> ''")
-        match = lambda db: rows(match_cves(opened, db.drop("lower_cve")), "cve", F.lower("cve"))
+        match = lambda db: match_cves(opened, db.drop("lower_cve")).select("scan_id", F.lit("cve").alias("kind"), F.lower("cve").alias("key"), "ip")
         if inv.findings is None:
             matched = match(catalogue)
         else:
             shared = inv.findings.select(F.explode("cves").alias("cve")).select(F.lower("cve").alias("lower_cve")).distinct()
-            parts.append(match(catalogue.join(shared, "lower_cve", "left_semi")))
+            reported_too = match(catalogue.join(shared, "lower_cve", "left_semi"))
+            several.append(reported_too.select(*KEY, F.lit(None).cast("string").alias("product"), F.array("key").alias("cves")))
             matched = match(catalogue.join(shared, "lower_cve", "left_anti"))
-    named = reduce(DataFrame.unionByName, parts).where(F.col("key").isNotNull() & (F.col("key") != "")).distinct()
-    return named if matched is None else named.unionByName(matched)
+    parts = [
+        _host_keys(opened, port=F.col("port").cast("string"), service=F.lower("svc")), of_hosts,
+        _host_keys(reduce(DataFrame.unionByName, several), product=F.col("product"), cve=F.col("cves")),
+    ]
+    return reduce(DataFrame.unionByName, parts if matched is None else [*parts, matched])
 
 
 def posting_counts(rows: DataFrame) -> DataFrame:

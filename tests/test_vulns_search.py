@@ -169,3 +169,25 @@ def test_literal_prefixes_are_joined_by_sorting(spark, rows, tmp_path, plan_of):
     pairs = vulns.cpe_pairs(cpes, db, "literal")
     assert "SortMergeJoin" in plan_of(pairs) and "BroadcastHashJoin" not in plan_of(pairs)
     assert {tuple(r) for r in pairs.select("cpe", "db_cpe").collect()} == {(c, k) for c in CPES for k, _ in DB if related(c, k, "literal") is not None}
+
+
+def test_postings_are_told_apart_by_host(rows, plan_of):
+    """Repeated and null keys of several tables give one posting each, and no aggregation holds a row for every posting."""
+    import re
+
+    from conftest import HOST, PORT, TAG
+    from exposure.operators import postings
+
+    up = {"scan_id": 1, "ip": "a", "mac": None, "status": "up"}
+    hosts = rows([{**up, "os_name": "Linux 4.15 linux"}, {**up, "os_name": "Linux BSD"}, {**up, "ip": None, "os_name": "BSD"}, {**up, "ip": "b", "os_name": None}, {**up, "ip": "c", "status": "down", "os_name": "Linux"}], HOST)
+    port = {"scan_id": 1, "ip": "a", "port": 80, "state": "open", "cpe": "cpe:/a:v:p"}
+    ports = rows([{**port, "proto": "tcp", "svc": "HTTP", "product": "Nginx"}, {**port, "proto": "udp", "svc": "http", "product": ""}, {**port, "ip": "c"}, {**port, "ip": "b", "port": None, "svc": None, "cpe": None}, {**port, "ip": "b", "state": "closed"}], PORT)
+    finding = {"scan_id": 1, "ip": "a", "plugin_id": 1, "severity": 1}
+    findings = rows([{**finding, "plugin_name": "nginx", "cves": ["cve-1", None, "CVE-9"]}, {**finding, "plugin_name": "NGINX", "cves": ["CVE-9", ""]}, {**finding, "plugin_name": None, "cves": None}, {**finding, "ip": None, "plugin_name": "x", "cves": ["CVE-7"]}], FINDING)
+    tags = rows([{"asset_key": "ip:a", "labels": ["p1", None, "p1", ""]}, {"asset_key": "ip:b", "labels": None}], TAG)
+    db = rows([{"cpe": "cpe:2.3:a:v:p:1:*", "ord": 1, "cve": "CVE-1", "cvss": 1.0, "descr": "d"}, {"cpe": "cpe:2.3:a:v:p:1:*", "ord": 2, "cve": "CVE-2", "cvss": 1.0, "descr": "d"}], VULN)
+    found = postings.postings(Inventory(hosts=hosts, ports=ports, findings=findings, tags=tags, vuln_db=db))
+    want = [("port", "80"), ("service", "http"), ("product", "nginx"), ("os", "linux"), ("os", "4.15"), ("os", "bsd"), ("tag", "p1"), ("cve", "cve-1"), ("cve", "cve-2"), ("cve", "cve-9")]
+    assert found.columns == ["scan_id", "kind", "key", "ip"]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [(1, *w, "a") for w in want] + [(1, "os", "bsd", None)]))
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*\bkind#[^\]]*\bkey#", plan_of(found))
