@@ -25,6 +25,8 @@ from exposure.sizes import is_small
 
 #: Places that one 64-bit word holds.
 WORD = 64
+#: Words of a key that are gathered side by side in one row.
+WORDS_IN_ROW = 8
 STATE, PORT = ["ip", "os_name", "status"], ["ip", "port", "proto"]
 TABLES = ("places", "states", "ports")
 
@@ -62,20 +64,25 @@ def _after_gap(keys: list[str]) -> Column:
     return F.coalesce(before + 1 < F.col("first_place"), F.lit(True))
 
 
-def presence_runs(facts: DataFrame, keys: list[str]) -> DataFrame:
+def presence_runs(facts: DataFrame, keys: list[str], last: int | None = None) -> DataFrame:
     """The longest runs of consecutive ``place`` values of each key.
 
     Places are gathered as bits of 64-bit words, a hash aggregation of fixed width with a map-side combine, so a key seen
-    in every scan leaves a task as one row for 64 scans. Only the runs found in words are put in order.
+    in every scan leaves a task as one row for 64 scans. Only the runs found in words are put in order. Where ``last``, the
+    highest place, is known and few words reach it, all words of a key are one row, which is shuffled once for both steps.
     """
-    bit = F.expr(f"shiftleft(1L, CAST(place % {WORD} AS INT))")
-    words = facts.groupBy(*keys, F.floor(F.col("place") / WORD).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    bit, word = F.expr(f"shiftleft(1L, CAST(place % {WORD} AS INT))"), F.floor(F.col("place") / WORD)
+    if last is not None and last // WORD < WORDS_IN_ROW:
+        side_by_side = [F.bit_or(F.when(word == n, bit)).alias(f"bits{n}") for n in range(last // WORD + 1)]
+        words = facts.groupBy(*keys).agg(*side_by_side).select(*keys, F.posexplode(F.array(*[f"bits{n}" for n in range(last // WORD + 1)])).alias("word", "bits"))
+    else:
+        words = facts.groupBy(*keys, word.alias("word")).agg(F.bit_or(bit).alias("bits"))
     bits_of = lambda mask: F.expr(f"filter(sequence(0, {WORD - 1}), b -> (shiftrightunsigned({mask}, b) & 1L) = 1L)")
     ends = F.arrays_zip(
         bits_of("(bits & ~shiftleft(bits, 1))").alias("b"), bits_of("(bits & ~shiftrightunsigned(bits, 1))").alias("e")
     )
     place = lambda bit_no: F.col("word") * WORD + F.col(bit_no)
-    found = words.select(*keys, "word", F.inline(ends).alias("b", "e")).select(
+    found = words.where("bits IS NOT NULL").select(*keys, "word", F.inline(ends).alias("b", "e")).select(
         *keys, place("b").alias("first_place"), place("e").alias("last_place")
     )
     return _joined(_after_gap(keys), found, keys)
@@ -86,9 +93,10 @@ def build(runs: DataFrame, hosts: DataFrame, ports: DataFrame) -> Validity:
     places = scan_places(runs)
     seen = hosts.groupBy("scan_id", "ip").agg(F.max("os_name").alias("os_name"), F.max("status").alias("status"))
     opened = ports.where(F.col("state") == "open").select("scan_id", *PORT)
+    last = places.agg(F.max("place")).first()[0] or 0
     return Validity(
-        places, presence_runs(seen.join(places, "scan_id").drop("scan_id"), STATE),
-        presence_runs(opened.join(places, "scan_id").drop("scan_id"), PORT),
+        places, presence_runs(seen.join(places, "scan_id").drop("scan_id"), STATE, last),
+        presence_runs(opened.join(places, "scan_id").drop("scan_id"), PORT, last),
     )
 
 
@@ -162,14 +170,28 @@ def port_presence(validity: Validity, pairs: DataFrame) -> DataFrame:
     return covering(validity.ports, _points(validity, pairs)).groupBy(*diff.PAIR, *PORT).agg(F.bit_or("side").alias("seen"))
 
 
+def moved_ports(validity: Validity, pairs: DataFrame) -> DataFrame:
+    """The rows of :func:`port_presence` that are not in both scans, gathered by pair and IP.
+
+    A run that covers both scans of a pair says that the port is in both and leaves before the shuffle. Where two runs do, they meet after it.
+    """
+    other = validity.places.select(F.col("scan_id").alias("other_id"), F.col("place").alias("other"))
+    other_id = F.when(F.col("side") == diff.BASE, F.col("comp_id")).otherwise(F.col("base_id"))
+    points = _points(validity, pairs).withColumn("other_id", other_id).join(other, "other_id", "left").drop("other_id")
+    runs = validity.ports.withColumn("since", F.col("first_place")).withColumn("until", F.col("last_place"))
+    alone = covering(runs, points).where(~F.coalesce(F.col("other").between(F.col("since"), F.col("until")), F.lit(False)))
+    by_host = alone.select(*diff.PAIR, *PORT, "side").repartition(*diff.PAIR, "ip")
+    return by_host.groupBy(*diff.PAIR, *PORT).agg(F.bit_or("side").alias("seen")).where(F.col("seen") != diff.BOTH)
+
+
 def log_between(validity: Validity, pairs: DataFrame) -> DataFrame:
     """As :func:`diff.change_log`, for any pairs of scans."""
-    return diff.log_of(host_sides(validity, pairs), port_presence(validity, pairs))
+    return diff.log_of(host_sides(validity, pairs), moved_ports(validity, pairs))
 
 
 def diff_between(validity: Validity, pairs: DataFrame) -> DataFrame:
     """As :func:`diff.host_diff`, for any pairs of scans."""
-    return diff.diff_of(host_sides(validity, pairs), port_presence(validity, pairs))
+    return diff.diff_of(host_sides(validity, pairs), moved_ports(validity, pairs))
 
 
 # ------------------------------------------------------------------ scans that follow each other

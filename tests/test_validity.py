@@ -103,3 +103,22 @@ def test_cut_runs_are_joined_by_sorting(rows, spark, tmp_path, plan_of):
     v = validity.load(spark, str(tmp_path / "v"))
     covered = validity.covering(v.states, validity._borders(v.ports, validity._last(v)), ["ip"])
     assert "SortMergeJoin" in plan_of(covered) and "BroadcastHashJoin" not in plan_of(covered)
+
+
+def test_few_words_are_shuffled_once_and_give_the_same_runs(rows, plan_of):
+    rng = random.Random(5)
+    facts = rows([{"k": rng.choice(["a", "b", None]), "place": rng.randrange(1, 400)} for _ in range(300)], "k string, place bigint")
+    aside = validity.presence_runs(facts, ["k"], 399)
+    assert same(aside, validity.presence_runs(facts, ["k"])) and same(aside, validity.presence_runs(facts, ["k"], 1 << 20))
+    assert plan_of(aside).count("Exchange hashpartitioning") == 1
+
+
+def test_ports_in_both_scans_leave_before_the_shuffle(rows, spark, tmp_path, plan_of):
+    runs, hosts, ports = tables(rows, 6, 30)
+    validity.write(validity.build(runs, hosts, ports), str(tmp_path / "v"))
+    v = validity.load(spark, str(tmp_path / "v"))
+    pairs = rows([{"base_id": a, "comp_id": b} for a, b in [(0, 29), (29, 0), (5, 5), (1, 14), (12, 13)]], "base_id int, comp_id int")
+    assert same(validity.moved_ports(v, pairs), diff.port_presence(ports, pairs).where(F.col("seen") != diff.BOTH))
+    moved = validity.moved_ports(v, pairs)
+    by_host = moved.groupBy(*diff.PAIR, "ip").count()
+    assert plan_of(by_host).count("Exchange hashpartitioning") == plan_of(moved).count("Exchange hashpartitioning")
