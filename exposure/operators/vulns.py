@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from exposure.functions import columns as C
 from exposure.operators.topk import top_n_per_group
@@ -88,15 +88,19 @@ def match_cves(ports: DataFrame, vuln_db: DataFrame, mode: str = "normalized") -
     only the CPEs at its lowest port of that product, and a CVE listed under a single product
     can reach it once only. Those rows, nearly all, leave the join as they are;
     only CVEs of several products, and ports with several CPEs of one product, are
-    grouped to find the first.
+    grouped to find the first. In literal mode it is a CVE listed under a single database CPE, and a port
+    CPE that no other one of the host reaches a common database CPE with, that need no grouping.
     """
     opened = _open_cpes(ports)
+    pairs = lambda rows: rows.select(*KEY, "cve", "port", "hit")
+    known = _known(opened, vuln_db, mode)
     if mode != "normalized":
-        on_host = opened.groupBy(*KEY, "cpe").agg(F.min("port").alias("port"))
-        return _match_columns(_first_per_cve(on_host.join(_best_per_cpe(opened, vuln_db, mode), "cpe")))
-    matched = _lowest(opened).join(_known(opened, vuln_db), "cpe")
+        on_host = _apart(opened)
+        apart = on_host.where("apart")
+        several = pairs(apart.join(known.where("not one_product"), "cpe")).unionByName(pairs(on_host.where("not apart").join(known, "cpe")))
+        return _match_columns(pairs(apart.join(known.where("one_product"), "cpe")).unionByName(_first_per_cve(several)))
+    matched = _lowest(opened).join(known, "cpe")
     alone = F.col("single") & F.col("one_product")
-    pairs = lambda rows: rows.select(*KEY, "cve", "port", "hit")
     return _match_columns(pairs(matched.where(alone)).unionByName(_first_per_cve(pairs(matched.where(~alone)))))
 
 
@@ -119,13 +123,28 @@ def _lowest(opened: DataFrame) -> DataFrame:
     )
 
 
-def _known(opened: DataFrame, vuln_db: DataFrame) -> DataFrame:
-    """What is reported for each port CPE and CVE; ``one_product`` where the CVE is listed under one product only."""
+def _apart(opened: DataFrame) -> DataFrame:
+    """Per host and CPE its lowest port; ``apart`` where no other CPE of the host reaches a database CPE that this one reaches by the
+    literal rule, as neither base begins with the other.
+
+    In byte order a base is followed by what begins with it, up to the base with a byte that no text has.
+    """
+    on_host = opened.repartition(*KEY).groupBy(*KEY, "cpe").agg(F.min("port").alias("port")).withColumn("base", C.cpe_base(F.col("cpe")))
+    base, in_order = F.col("base"), Window.partitionBy(*KEY).orderBy("base")
+    ends = F.max(F.concat(base.cast("binary"), F.lit(b"\xff"))).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    leads, follows = F.startswith(F.lead("base").over(in_order), base), ends > base.cast("binary")
+    related = F.coalesce(leads, F.lit(False)) | F.coalesce(follows, F.lit(False))
+    return on_host.select(*KEY, "cpe", "port", (~related).alias("apart"))
+
+
+def _known(opened: DataFrame, vuln_db: DataFrame, mode: str = "normalized") -> DataFrame:
+    """What is reported for each port CPE and CVE; ``one_product`` where the CVE is listed under one product only (literal: one CPE)."""
+    stem = _product("cpe") if mode == "normalized" else F.col("cpe")
     products = (
-        vuln_db.where(F.col("cve").isNotNull()).groupBy("cve", _product("cpe").alias("stem")).agg(F.lit(1).alias("one"))
+        vuln_db.where(F.col("cve").isNotNull()).groupBy("cve", stem.alias("stem")).agg(F.lit(1).alias("one"))
         .groupBy("cve").agg((F.count(F.lit(1)) == 1).alias("one_product"))
     )
-    return _best_per_cpe(opened, vuln_db, "normalized").join(products, "cve")
+    return _best_per_cpe(opened, vuln_db, mode).join(products, "cve")
 
 
 def _stem() -> Column:
