@@ -266,7 +266,7 @@ def test_pipeline_takes_odd_rows(spark, docs_of):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, name):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     cursor = con.execute(ORACLES[name])
     names = [d[0] for d in cursor.description]
